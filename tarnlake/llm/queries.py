@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, packing, pii, sharding, toxicity, url_filter
+from . import bpe, exact_dedup, minhash, packing, pii, sharding, toxicity, url_filter
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -115,3 +115,8 @@ URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.
 def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
+
+
+@query("op1_minhash_near_dedup")
+def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_dedup(table(spark, sf_dir, "documents"))
