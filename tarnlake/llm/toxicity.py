@@ -18,9 +18,11 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: Lengths of the n-grams in bytes, bits of the feature hash, and features kept.
-GRAMS, BITS, FEATURES = (3, 4, 5, 6), 20, 20_000
+GRAMS, BITS, FEATURES = (3, 4, 5, 6), 20, 10_000
+#: Blocks in which the features' counts move.
+_BLOCKS = 64
 #: The bound of the training sample: rows of each class.
-ROWS_PER_CLASS = 6_000
+ROWS_PER_CLASS = 4_000
 
 _VALUES = shared.LOWERED.copy()
 _VALUES[[9, 10, 11, 12, 13]] = _VALUES[32]
@@ -71,36 +73,34 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
-def fit(rows: list[tuple[int, np.ndarray]], rounds: int = 120, l2: float = 1e-3) -> Model:
-    """rows: (label, its distinct features). With one class only, the score is that class for every text."""
+def constant(toxic: int, clean: int) -> Model:
+    """With one class only, every text scores as that class; without labels, as clean."""
+    return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 30.0 if toxic > clean else -30.0)
+
+
+def log_ratio(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> tuple[np.ndarray, np.ndarray]:
+    """Naive Bayes log-count ratio of each feature, and its size in standard errors."""
+    ratio = np.log((toxic + 1) / (n_toxic + 2)) - np.log((clean + 1) / (n_clean + 2))
+    return ratio, np.abs(ratio) / np.sqrt(1 / (toxic + 1) + 1 / (clean + 1))
+
+
+def fit(rows: list[tuple[int, np.ndarray]], index: np.ndarray, ratio: np.ndarray, rounds: int = 150, l2: float = 1e-3) -> Model:
+    """rows: (label, its distinct features among index, which is sorted). Both classes must occur."""
     y = np.array([x for x, _ in rows], np.float64)
-    if not len(y) or y.min() == y.max():
-        return Model(np.zeros(0, np.int64), np.zeros(0, np.float32), 30.0 if len(y) and y[0] else -30.0)
-    length = np.array([len(f) for _, f in rows])
-    feature = np.concatenate([f for _, f in rows]).astype(np.int64)
-    row = np.repeat(np.arange(len(rows)), length)
-    toxic = np.bincount(feature, y[row], 1 << BITS)
-    clean = np.bincount(feature, 1 - y[row], 1 << BITS)
-    ratio = np.log((toxic + 1) / (y.sum() + 2)) - np.log((clean + 1) / ((1 - y).sum() + 2))
-    sure = np.abs(ratio) / np.sqrt(1 / (toxic + 1) + 1 / (clean + 1))
-    index = np.sort(np.argsort(-sure, kind="stable")[:FEATURES])
-    index = index[sure[index] >= 2]
-    place = np.full(1 << BITS, -1, np.int64)
-    place[index] = np.arange(len(index))
-    at = place[feature]
-    row, at = row[at >= 0], at[at >= 0]
-    value = ratio[index][at]
+    row = np.repeat(np.arange(len(rows)), [len(f) for _, f in rows])
+    at = np.searchsorted(index, np.concatenate([f for _, f in rows]).astype(np.int64))
+    value = ratio[at]
     # both classes weigh alike, whatever the sample's balance
     weight = np.where(y > 0, 0.5 / y.sum(), 0.5 / (1 - y).sum())
     w, bias = np.zeros(len(index)), 0.0
     v, vb, step = np.zeros(len(index)), 0.0, 4.0 / max(1.0, np.bincount(row, value**2, len(y)).mean())
     for _ in range(rounds):  # gradient steps with momentum
-        z = np.bincount(row, (w * 1.0)[at] * value, len(y)) + bias
+        z = np.bincount(row, w[at] * value, len(y)) + bias
         g = weight * (1 / (1 + np.exp(-np.clip(z, -30, 30))) - y)
         v = 0.9 * v - step * (np.bincount(at, g[row] * value, len(index)) + l2 * w)
         vb = 0.9 * vb - step * g.sum()
         w, bias = w + v, bias + vb
-    return Model(index, (w * ratio[index]).astype(np.float32), float(bias))
+    return Model(index, (w * ratio).astype(np.float32), float(bias))
 
 
 def held_out() -> F.Column:
@@ -110,24 +110,60 @@ def held_out() -> F.Column:
 
 def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> Model:
     """Fit on at most rows_per_class labelled rows of each class, those of smallest hash of doc_id, so the
-    sample is the same on every run. A doc_id with several labels counts as toxic if one says so."""
+    sample is the same on every run. A doc_id with several labels counts as toxic if one says so. Features
+    are counted where the sample's texts lie; the driver gets the FEATURES best of them, and those of each row.
+    """
+    spark = docs.sparkSession
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out()).join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
     by_hash = (F.xxhash64("doc_id"), "doc_id")
     sample = known.where("toxic = 1").orderBy(*by_hash).limit(rows_per_class).unionAll(known.where("toxic = 0").orderBy(*by_hash).limit(rows_per_class))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    # at most 2 * rows_per_class ids and labels are broadcast
+    texts = shared.text_of(docs).join(F.broadcast(sample), "doc_id").withColumn("same", F.sha2("text", 256)).dropDuplicates(["same", "toxic"]).drop("same")
+    texts = shared.staged(texts, shared.shared_dir(spark), "sample")
+    sizes = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
+    if not n_toxic or not n_clean:
+        return constant(n_toxic, n_clean)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros((2, 1 << BITS), np.int32)
         for b in shared.pieces(batches):
-            offsets, data = shared.bytes_of(b.column("text"))
-            text, feature = features(offsets, data)
+            text, feature = features(*shared.bytes_of(b.column("text")))
+            toxic = b.column("toxic").to_numpy()[text]
+            for k in (0, 1):
+                seen[k] += np.bincount(feature[toxic == k], minlength=1 << BITS).astype(np.int32)
+        if seen.any():
+            some = seen.reshape(2, _BLOCKS, -1)
+            yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array([some[:, k].tobytes() for k in range(_BLOCKS)], pa.binary())], ["block", "counts"])
+
+    def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        width = (1 << BITS) // _BLOCKS
+        total: dict[int, np.ndarray] = {}
+        for b in batches:
+            for block, counts in zip(b.column("block").to_pylist(), b.column("counts").to_pylist(), strict=True):
+                total[block] = total.get(block, 0) + np.frombuffer(counts, np.int32).reshape(2, -1)
+        for block, (clean, toxic) in total.items():
+            ratio, sure = log_ratio(toxic, clean, n_toxic, n_clean)
+            at = np.flatnonzero((sure >= 2) & (toxic + clean > 1))
+            yield pa.RecordBatch.from_arrays([pa.array(at + block * width), pa.array(ratio[at]), pa.array(sure[at])], ["feature", "ratio", "sure"])
+
+    ranked = texts.mapInArrow(count, "block int, counts binary").repartition(shared.parts(spark), "block").mapInArrow(rank, "feature long, ratio double, sure double")
+    best = sorted((r.feature, r.ratio) for r in ranked.orderBy(F.desc("sure"), "feature").limit(FEATURES).collect())
+    if not best:
+        return constant(n_toxic, n_clean)
+    index, ratio = np.array([x for x, _ in best]), np.array([x for _, x in best])
+
+    def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = np.zeros(1 << BITS, bool)
+        wanted[index] = True
+        for b in shared.pieces(batches):
+            text, feature = features(*shared.bytes_of(b.column("text")), wanted)
             cut = np.searchsorted(text, np.arange(1, b.num_rows))
-            found = [x.astype(np.int32).tobytes() for x in np.split(feature, cut)]
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array(found, pa.binary())], ["doc_id", "toxic", "features"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([x.astype(np.int32).tobytes() for x in np.split(feature, cut)], pa.binary())], ["doc_id", "toxic", "features"])
 
-    # at most 2 * rows_per_class ids and labels are broadcast
-    texts = shared.text_of(docs).join(F.broadcast(sample), "doc_id")
-    got = texts.mapInArrow(run, "doc_id long, toxic int, features binary").dropDuplicates(["features", "toxic"]).collect()
-    return fit([(r.toxic, np.frombuffer(r.features, np.int32)) for r in sorted(got, key=lambda r: (r.doc_id, r.toxic))])
+    got = texts.mapInArrow(own, "doc_id long, toxic int, features binary").collect()
+    return fit([(r.toxic, np.frombuffer(r.features, np.int32)) for r in sorted(got, key=lambda r: (r.doc_id, r.toxic))], index, ratio)
 
 
 def score(docs: DataFrame, model: Model) -> DataFrame:
