@@ -61,10 +61,10 @@ def text_of(docs: DataFrame, *more: str) -> DataFrame:
 
 
 def bytes_of(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets (int64, from 0) and bytes of a string or binary array without nulls."""
-    if isinstance(array, pa.ChunkedArray):
-        array = array.combine_chunks()
+    """Offsets (int64, from 0) and bytes of a string or binary array; nulls count as empty."""
     array = array.cast(pa.large_binary())
+    if array.null_count:
+        array = array.fill_null(b"")
     n = len(array)
     if not n:
         return np.zeros(1, np.int64), np.zeros(0, np.uint8)
@@ -77,14 +77,9 @@ def bytes_of(array: pa.Array) -> tuple[np.ndarray, np.ndarray]:
 def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """The batches cut into slices of about `most` bytes of the column, whole rows each."""
     for batch in batches:
-        k = batch.schema.get_field_index(column)
-        a = batch.column(k)
-        if a.null_count:
-            batch = batch.set_column(k, batch.schema.field(k), a.fill_null(""))
-            a = batch.column(k)
-        offsets, _ = bytes_of(a)
+        offsets, _ = bytes_of(batch.column(column))
         at = 0
-        while at < len(a):
+        while at < batch.num_rows:
             end = max(at + 1, int(np.searchsorted(offsets, offsets[at] + most, "right")) - 1)
             yield batch.slice(at, end - at)
             at = end

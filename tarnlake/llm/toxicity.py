@@ -21,6 +21,8 @@ from . import shared
 GRAMS, BITS, FEATURES = (3, 4, 5, 6), 20, 10_000
 #: Blocks in which the features' counts move.
 _BLOCKS = 64
+#: Bytes of text at a time: each gives a feature for every length of n-gram.
+_CHUNK = 1 << 19
 #: The bound of the training sample: rows of each class.
 ROWS_PER_CLASS = 4_000
 
@@ -128,7 +130,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, 1 << BITS), np.int32)
-        for b in shared.pieces(batches):
+        for b in shared.pieces(batches, most=_CHUNK):
             text, feature = features(*shared.bytes_of(b.column("text")))
             toxic = b.column("toxic").to_numpy()[text]
             for k in (0, 1):
@@ -157,7 +159,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         wanted = np.zeros(1 << BITS, bool)
         wanted[index] = True
-        for b in shared.pieces(batches):
+        for b in shared.pieces(batches, most=_CHUNK):
             text, feature = features(*shared.bytes_of(b.column("text")), wanted)
             cut = np.searchsorted(text, np.arange(1, b.num_rows))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([x.astype(np.int32).tobytes() for x in np.split(feature, cut)], pa.binary())], ["doc_id", "toxic", "features"])
@@ -174,8 +176,18 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in shared.pieces(batches):
+        for b in shared.pieces(batches, most=_CHUNK):
             s = model.score(*shared.bytes_of(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return shared.text_of(docs).withColumn("held_out", held_out()).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
+
+
+def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, with all their columns, that score below 0.5. Nothing is shuffled."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in shared.pieces(batches, most=_CHUNK):
+            yield b.filter(pa.array(model.score(*shared.bytes_of(b.column("text"))) < 0.5))
+
+    return docs.mapInArrow(run, docs.schema)
