@@ -21,3 +21,6 @@ def query(name: str, sql: str | None = None):
         return f
 
     return add
+
+
+from . import retrieval_queries, text_queries  # noqa: E402, F401  (each registers its queries)
