@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -13,6 +14,11 @@ from . import fixed
 BOUNDARY = r"(?:(?<=[A-Za-z0-9_])(?![A-Za-z0-9_])|(?<![A-Za-z0-9_])(?=[A-Za-z0-9_]))"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body and its lambdas use it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
 def portable(pattern: str) -> str:
     """\\b as ASCII boundary, $ as the very end."""
     return pattern.replace(r"\b", BOUNDARY).replace("|$)", r"|\z)")
@@ -93,8 +99,8 @@ def answer_tokens(c: Column) -> Column:
 
 def memory_type(c: Column) -> Column:
     """struct(memory_type, confidence) by counts of matching patterns."""
-    s, e, p = hits(c, fixed.SEMANTIC), hits(c, fixed.EPISODIC), hits(c, fixed.PROCEDURAL)
-    return _typed(s, e, p)
+    counts = F.struct(hits(c, fixed.SEMANTIC).alias("s"), hits(c, fixed.EPISODIC).alias("e"), hits(c, fixed.PROCEDURAL).alias("p"))
+    return let(counts, lambda n: _typed(n["s"], n["e"], n["p"]))
 
 
 def _typed(s: Column, e: Column, p: Column) -> Column:
@@ -135,5 +141,4 @@ def query_entities(c: Column) -> Column:
 
 
 def first_by_case(names: Column) -> Column:
-    low = F.transform(names, F.lower)
-    return F.filter(names, lambda w, i: F.array_position(low, F.lower(w)) == i + 1)
+    return let(names, lambda ns: let(F.transform(ns, F.lower), lambda low: F.filter(ns, lambda w, i: F.array_position(low, F.get(low, i)) == i + 1)))

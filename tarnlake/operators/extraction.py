@@ -35,15 +35,22 @@ def entities(c: Column) -> Column:
     in the order in which the names first came."""
     each = F.concat(*(_by_patterns(c, k) for k in _PATTERNS), _by_vocabulary(c))
     ranks = F.create_map(*(F.lit(x) for kv in fixed.TYPE_RANK.items() for x in kv))
-    low = F.transform(each, lambda e: F.lower(e["name"]))
-    firsts = F.filter(each, lambda e, i: F.array_position(low, F.lower(e["name"])) == i + 1)
+    keyed = F.transform(each, lambda e: F.struct(F.lower(e["name"]).alias("low"), F.try_element_at(ranks, e["type"]).alias("rank"), e.alias("e")))
 
-    def best(e: Column) -> Column:
-        same = F.filter(each, lambda x: F.lower(x["name"]) == F.lower(e["name"]))
-        most = F.array_max(F.transform(same, lambda x: F.try_element_at(ranks, x["type"])))
-        return F.get(F.filter(same, lambda x: F.try_element_at(ranks, x["type"]) == most), F.lit(0))
+    def merged(all_: Column) -> Column:
+        # of a name's entries the first of the highest rank; names in order of their first entries
+        names = F.array_distinct(F.transform(all_, lambda x: x["low"]))
 
-    return F.transform(firsts, best).cast(_ENTITY)
+        def best(low: Column) -> Column:
+            return F.aggregate(
+                F.filter(all_, lambda x: x["low"] == low),
+                F.lit(None).cast("struct<low:string,rank:int,e:struct<name:string,type:string,confidence:double>>"),
+                lambda a, x: F.when(a.isNull() | (x["rank"] > a["rank"]), x).otherwise(a),
+            )["e"]
+
+        return F.transform(names, best)
+
+    return text.let(keyed, merged).cast(_ENTITY)
 
 
 def relations(rows: DataFrame, key: str = "id") -> DataFrame:
