@@ -22,8 +22,8 @@ from . import shared
 
 #: Pieces in one packing task: the share is bounded, whatever the table.
 SHARE = 1 << 16
-#: Entries in a worker's memory of encoded words.
-MEMORY = 500_000
+#: Words that a worker remembers, about 150 bytes each.
+MEMORY = 400_000
 
 
 class Packer:
@@ -59,28 +59,100 @@ class Packer:
         return at, most - gap
 
 
+#: Kinds of bytes: white space, letters, digits, marks. What isn't of a kind, an apostrophe (it starts
+#: contractions) among them, leaves its text to the tokenizer itself.
+_SPACE, _LETTER, _DIGIT, _MARK = 1, 2, 3, 4
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = _MARK
+_KIND[ord("'")] = 0
+_KIND[[32, *range(9, 14)]] = _SPACE
+_KIND[48:58] = _DIGIT
+_KIND[[*range(65, 91), *range(97, 123)]] = _LETTER
+# letters of two bytes from 0xC3 on, all but the signs of multiplication and division
+_KIND[[0xC3, *range(0x80, 0xC0)]] = _LETTER
+_KIND[[0x97, 0xB7]] = 0
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+_LOWER[0x80:0x9F] += 32
+
+
 class Words:
-    """Token ids of texts by a tokenizer that drops white space: its chunks between spaces are independent."""
+    """Token ids of texts by a tokenizer that lower-cases, drops white space, takes runs of letters, single
+    digits and runs of marks for words, and ends every word with a token of its own kind.
+
+    Texts of plain bytes are cut into words by array operations; distinct words are looked up, and those
+    not met before are encoded many at a time, in one text, and told apart by their end-of-word tokens.
+    Other texts are left to the tokenizer.
+    """
 
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.known: dict[str, bytes] = {}
-
-    def texts(self, texts: list[str]) -> Iterator[bytes]:
+        vocabulary = self.tokenizer.get_vocab(with_added_tokens=True)
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        self.words: dict[bytes, bytes] = {}
+
+    def _alone(self, texts: list[str]) -> list[bytes]:
+        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _learn(self, words: list[bytes]) -> None:
+        for at in range(0, len(words), 1000):
+            some = words[at : at + 1000]
+            ids = np.array(self.tokenizer.encode_batch_fast([b" ".join(some).decode()], add_special_tokens=False)[0].ids, "<u4")
+            cut = (4 * (np.flatnonzero(self.ends[ids]) + 1)).tolist()
+            if len(cut) == len(some) and cut[-1] == 4 * len(ids):
+                raw = ids.tobytes()
+                self.words.update(zip(some, [raw[i:j] for i, j in zip([0, *cut], cut, strict=False)], strict=True))
+            else:
+                self.words.update(zip(some, self._alone([w.decode() for w in some]), strict=True))
+
+    def texts(self, texts: pa.Array) -> Iterator[bytes]:
         """Little-endian unsigned 32-bit ids of each text."""
-        if len(self.known) > MEMORY:
-            self.known.clear()
-        cut = [t.replace("\n", " ").split(" ") for t in texts]
-        fresh = sorted({x for c in cut for x in c} - self.known.keys())
-        for at in range(0, len(fresh), 10_000):
-            some = fresh[at : at + 10_000]
-            for x, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False), strict=True):
-                self.known[x] = np.array(e.ids, "<u4").tobytes()
-        for c in cut:
-            yield b"".join(map(self.known.__getitem__, c))
+        if len(self.words) > MEMORY:
+            self.words.clear()
+        offsets, data = shared.bytes_of(texts)
+        n, count = len(data), len(offsets) - 1
+        kind = _KIND[data]
+        low = _LOWER[data]
+        odd = kind == 0
+        if n:
+            # two bytes make a letter: neither may stand without the other, nor the marks that special tokens begin with
+            lead, rest = data == 0xC3, (data >= 0x80) & (data < 0xC0)
+            odd[1:] |= lead[:-1] != rest[1:]
+            odd[0] |= rest[0]
+            odd[-1] |= lead[-1]
+            odd[:-1] |= (data[:-1] == ord("<")) & (data[1:] == ord("|"))
+        plain = np.diff(np.concatenate([[0], np.cumsum(odd)])[offsets]) == 0
+        first = np.zeros(n + 1, bool)
+        first[offsets] = True
+        change = np.ones(n, bool)
+        change[1:] = kind[1:] != kind[:-1]
+        starts = np.flatnonzero((change | first[:-1] | (kind == _DIGIT)) & (kind != _SPACE))
+        after = np.ones(n, bool)
+        after[:-1] = change[1:]
+        ends = np.flatnonzero((after | first[1:] | (kind == _DIGIT)) & (kind != _SPACE)) + 1
+        text = np.searchsorted(offsets, starts, "right") - 1
+        good = plain[text]
+        starts, ends, text = starts[good], ends[good], text[good]
+        _, at, which = np.unique(shared.span_hash(shared.prefix_hash(low), starts, ends), return_index=True, return_inverse=True)
+        raw = low.tobytes()
+        words = [raw[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        self._learn([w for w in words if w not in self.words])
+        ids = [self.words[w] for w in words]
+        flat = np.frombuffer(b"".join(ids), "<u4")
+        size = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        begin = np.cumsum(size) - size
+        sizes = size[which]
+        total = np.cumsum(sizes)
+        out = flat[np.repeat(begin[which] - (total - sizes), sizes) + np.arange(total[-1] if len(total) else 0)]
+        cut = np.concatenate([[0], total])[np.searchsorted(text, np.arange(count + 1))].tolist()
+        others = np.flatnonzero(~plain)
+        alone = dict(zip(others.tolist(), self._alone(texts.take(pa.array(others)).to_pylist()), strict=True)) if len(others) else {}
+        for d in range(count):
+            yield alone[d] if d in alone else out[cut[d] : cut[d + 1]].tobytes()
 
 
 _words: dict[str, Words] = {}
@@ -92,7 +164,7 @@ def _pieces(batches: Iterator[pa.RecordBatch], path: str, most: int, end: int, k
     tail = np.array([end], "<u4").tobytes()
     for b in shared.pieces(batches):
         out: list[tuple] = []
-        for doc_id, ids in zip(b.column("doc_id").to_pylist(), words.texts(b.column("text").to_pylist()), strict=True):
+        for doc_id, ids in zip(b.column("doc_id").to_pylist(), words.texts(b.column("text")), strict=True):
             ids += tail
             for k in range(0, len(ids), 4 * most):
                 part = ids[k : k + 4 * most]
