@@ -15,13 +15,13 @@ from ..functions import fixed, text, vector
 QUERY_BLOCK = 2048
 
 
-def knn(queries: DataFrame, rows: DataFrame, k: int, least: float | None = None, other: bool = False) -> DataFrame:
+def knn(queries: DataFrame, rows: DataFrame, k: int, least: float | None = None, other: bool = False, older: bool = False) -> DataFrame:
     """For each query the k rows of largest cosine: query_id, id, similarity (rounded to 6), rank.
 
     queries: query_id, query_embedding, a stated set, taken in blocks of QUERY_BLOCK. rows: id, embedding,
     any number: each partition multiplies its vectors with the block's matrix and sends on its own k best
     of each query, so that the shuffle holds at most k rows for each query and partition. Ties go to the
-    smaller id. least: similarities below it don't count. other: a row is no answer to a query of its id.
+    smaller id. least: similarities below it don't count. other: a row is no answer to a query of its id; older: nor is one of a larger id.
     """
     given = queries.where("query_embedding IS NOT NULL").select(F.col("query_id").cast("long"), "query_embedding").orderBy("query_id").collect()
     spark, found = rows.sparkSession, None
@@ -41,6 +41,8 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, least: float | None = None,
                 sims = np.round(_unit(flat.reshape(len(own), -1)) @ matrix.T, 6)
                 if other:
                     sims[own[:, None] == ids[None, :]] = -np.inf
+                if older:
+                    sims[own[:, None] >= ids[None, :]] = -np.inf
                 if least is not None:
                     sims[sims < least] = -np.inf
                 r, q = np.nonzero(np.isfinite(sims))
