@@ -23,4 +23,4 @@ def query(name: str, sql: str | None = None):
     return add
 
 
-from . import graph_queries, metric_queries, retrieval_queries, text_queries, write_queries  # noqa: E402, F401  (each registers its queries)
+from . import graph_queries, metric_queries, retrieval_queries, text_queries, verb_queries, write_queries  # noqa: E402, F401  (each registers its queries)
