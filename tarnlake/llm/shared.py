@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of text that the vectorised kernels take at a time. One longer document is taken alone.
-CHUNK_BYTES = 1 << 21
+CHUNK_BYTES = 1 << 20
 
 _U = np.uint64
 #: Odd multiplier of the byte polynomial, and its inverse modulo 2**64.
@@ -55,8 +55,17 @@ def empty_if_null(c: str | Column) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def short_batches(spark: SparkSession) -> None:
+    """Arrow batches of 1000 rows where the session says nothing else: texts are long, and batches stand in
+    memory whole on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(key) == "10000":
+        spark.conf.set(key, "1000")
+
+
 def text_of(docs: DataFrame, *more: str) -> DataFrame:
     """doc_id long and text (null: empty), with further columns as they are; other columns go."""
+    short_batches(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), empty_if_null("text").cast("string").alias("text"), *more)
 
 
