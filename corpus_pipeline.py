@@ -17,7 +17,10 @@ COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 def _kept(docs: DataFrame, ids: DataFrame) -> DataFrame:
     """The rows of docs whose doc_id is among ids; a null doc_id counts as a value."""
-    return docs.join(ids.select(F.col("doc_id").alias("_id")).distinct(), F.col("doc_id").eqNullSafe(F.col("_id")), "left_semi")
+    name = "_kept_doc_id"
+    while name in docs.columns:
+        name += "_"
+    return docs.join(ids.select(F.col("doc_id").alias(name)).distinct(), F.col("doc_id").eqNullSafe(F.col(name)), "left_semi")
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -206,8 +206,7 @@ def redact(docs: DataFrame) -> DataFrame:
     columns and texts without spans stay as they are; a null text stays null.
     """
     model = train(candidates(docs))
-    row = docs.select("*", F.struct(F.lit(0)).alias("_row"))
-    inner = candidates(row.select("doc_id", "text", F.struct("*").alias("_all")), "_all")
+    inner = candidates(docs.select("doc_id", "text", F.struct("*").alias("_all")), "_all")
     kept = F.array_sort(F.transform(F.filter("found", model.accepts), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
     names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
     text = F.col("_all.text")

@@ -28,7 +28,6 @@ LENGTH, ANCHOR, SHARD_BYTES, MOST_ROWS = 100, 24, 1 << 20, 20_000
 COMBINE = 1 << 19
 
 _U = np.uint64
-_FIRST = -(2**63)
 
 
 # ---- anchors ----
@@ -397,13 +396,14 @@ def substring_dedup(docs: DataFrame, keep: bool = True) -> DataFrame:
 
     Texts are UTF-8 bytes, null counts as empty. A byte goes if a string of LENGTH bytes that covers it also
     starts earlier: in a smaller doc_id, or earlier in the same text. Strings are judged on the input and
-    never cross texts. A null doc_id comes before all others. Rows that share a doc_id are one text for this
-    purpose: they must share it, and none of them repeats another. Other columns are not read.
+    never cross texts. A row with a null doc_id has no place in the order: it stays whole and nothing repeats
+    it. Rows that share a doc_id are one text, which they must share: none of them repeats another. Other
+    columns are not read.
     """
     spark = docs.sparkSession
     folder = shared.shared_dir(spark)
-    text = shared.text_of(docs).withColumn("doc", F.coalesce("doc_id", F.lit(_FIRST)))
-    rows = text.select("doc", "text").mapInArrow(_find, _ROW)
+    text = shared.text_of(docs).withColumn("doc", F.col("doc_id"))
+    rows = text.where("doc IS NOT NULL").select("doc", "text").mapInArrow(_find, _ROW)
     met = rows.repartition(shared.parts(spark), "anchor").sortWithinPartitions("kind", "anchor", "bytes", "doc", "lo")
     sorted_out = shared.staged(met.mapInArrow(_sort_out, _ROW), folder, "anchors")
     repeats = sorted_out.where("kind = 1").select("doc", "lo", "hi")

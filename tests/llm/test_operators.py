@@ -1,0 +1,392 @@
+"""The ten operators against plain versions, and on awkward tables."""
+
+import base64
+import collections
+import zlib
+
+import numpy as np
+import public_tokenizers
+import pyarrow as pa
+import pytest
+
+from tarnlake.llm import bpe, exact_dedup, fingerprint, minhash, packing, pii, queries, sharding, suffix, toxicity, url_filter
+
+import brute
+from compare import same
+
+WORDS = public_tokenizers.path("word_bpe_49k.json")
+RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+
+
+@pytest.mark.parametrize("name", sorted(queries.ORACLES))
+def test_oracle(name, spark, duck, data):
+    same(queries.QUERIES[name](spark, data), duck, queries.ORACLES[name])
+
+
+def texts_of(df):
+    return {r.doc_id: r.text or "" for r in df.select("doc_id", "text").collect()}
+
+
+# ---- 1 ----
+
+
+def test_near_dedup(documents):
+    texts = texts_of(documents)
+    want = brute.near_components(texts)
+    got = minhash.near_dedup(documents).collect()
+    assert len(got) == len(texts)
+    assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(brute.shingles(texts[i])), want[i], want[i] == i) for i in texts}
+
+
+@pytest.mark.parametrize("block", [1 << 20, 400])
+def test_near_copies_of_one_text(spark, monkeypatch, block):
+    monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
+    rng = np.random.default_rng(5)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):
+        own = list(base)
+        for _ in range(rng.integers(0, 4)):
+            own[rng.integers(0, 120)] = f"x{rng.integers(0, 40)}"
+        rows.append((1000 - i, " ".join(own)))
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    want = brute.near_components(dict(rows))
+    assert {r.doc_id: r.component_id for r in minhash.near_dedup(df).collect()} == want
+    assert len(set(want.values())) < 100
+
+
+def test_near_dedup_edges(edge, nothing):
+    got = collections.defaultdict(list)
+    for r in minhash.near_dedup(edge).collect():
+        got[r.doc_id].append((r.n_shingles, r.component_id, r.kept))
+    assert got[1] == got[2] == got[3] == [(0, None, None)] or [got[i][0] for i in (1, 2, 3)] == [(0, i, True) for i in (1, 2, 3)]
+    assert got[4] == [(16, 4, True)] and got[5] == [(16, 4, False)] and got[6] == [(16, 4, False)] * 2
+    assert got[7][0][1:] == (7, True) and got[8][0][1:] == (7, False)
+    assert sorted(got[None]) == [(0, None, True), (1, None, True)]
+    assert minhash.near_dedup(nothing).count() == 0
+
+
+# ---- 2 ----
+
+
+def test_fingerprint(documents):
+    rows = {r.doc_id: r for r in fingerprint.compare_with_next(documents).collect()}
+    texts = sorted(texts_of(documents).items())
+    rank = fingerprint.ranks(fingerprint.histogram(documents))
+    prints = collections.defaultdict(set)
+    for k, (i, t) in enumerate(texts):
+        r, after = rows[i], texts[(k + 1) % len(texts)]
+        edited = fingerprint._edited(t, after[1])
+        assert (r.n_chars, r.edited_sha256) == (len(t), brute.sha(edited))
+        own = fingerprint.chain(fingerprint.features(np.array([0, len(edited.encode())]), np.frombuffer(edited.encode(), np.uint8), rank)[0])
+        assert r.edited_fingerprint == fingerprint.written(own)
+        assert r.near_next == pytest.approx(fingerprint.likeness(fingerprint.read(r.fingerprint), fingerprint.read(rows[after[0]].fingerprint)))
+        prints[t].add(r.fingerprint)
+    assert all(len(p) == 1 for p in prints.values())
+    assert np.mean([r.near_edited for r in rows.values()]) > 0.6
+    assert np.median([r.near_next for r in rows.values()]) < 0.2
+
+
+def test_entropy_levels():
+    rng = np.random.default_rng(2)
+    d = np.concatenate([rng.integers(97, 110, 500), np.full(200, 65), rng.integers(0, 256, 300)]).astype(np.uint8)
+    got = fingerprint.levels(d)
+    for i in range(len(got)):
+        p = np.bincount(d[i : i + 64]) / 64
+        p = p[p > 0]
+        assert abs(got[i] + (p * np.log2(p)).sum() / 6 * 1000) <= 0.51
+
+
+def test_fingerprint_edges(edge, nothing, spark):
+    rows = fingerprint.compare_with_next(edge).collect()
+    assert len(rows) == edge.count()
+    by = {r.doc_id: r for r in rows}
+    assert by[1].fingerprint == by[2].fingerprint == "" and by[2].near_edited == 1.0 and by[1].near_next == 1.0 and by[3].near_next == 0.0
+    assert len({r.fingerprint for r in rows if r.doc_id in (4, 6)}) == 1
+    assert by[8].near_edited < 1 and by[7].near_next > 0.9
+    assert fingerprint.compare_with_next(nothing).count() == 0
+    alone = fingerprint.compare_with_next(edge.where("doc_id = 4")).first()
+    assert alone.near_next == 1.0 and alone.edited_sha256 == brute.sha(fingerprint._edited(*[edge.where("doc_id = 4").first().text] * 2))
+    assert {r.fingerprint for r in fingerprint.fingerprint(edge.where("doc_id IN (4, 6)")).collect()} == {alone.fingerprint}
+
+
+# ---- 3 ----
+
+
+def test_pii(documents, spark):
+    odd = [
+        "a@b.c-d@e.f a@b.c_d@e.f", "1.2.3.4.5.6.7.8 300.1.1.1.2.3.4 0255.1.1.1", "4111 1111 1111 1111 and 4111111111111112 4111-1111", "+1 (386) 555-3733)( +123 +12345678901234567", "é 😀 a.b@c.de 😀 x@y.z",
+        "@@@ a@ @b.c a@b a@b. a@b.c.", "+1+12345678 9+", "a" * 30_000 + "1" * 30_000, "",
+    ]
+    df = documents.select("doc_id", "text").union(spark.createDataFrame([(10**6 + i, t) for i, t in enumerate(odd)], "doc_id long, text string"))
+    texts = texts_of(df)
+    for r in pii.report(df).collect():
+        base = brute.personal(texts[r.doc_id])
+        n = collections.Counter(k for k, _, _ in base)
+        line = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert (r.n_email, r.n_ip, r.n_card, r.n_phone, r.base_sha256) == (n["email"], n["ip"], n["card"], n["phone"], brute.sha(line))
+        assert set(line.split(",")) - {""} <= set(r.spans.split(","))
+
+
+def test_pii_learns():
+    # pattern and context agree; the gazetteer votes at random
+    counts = [(3, "1,1,1,1", 40), (3, "1,-1,1,1", 40), (3, "-1,1,-1,0", 50), (3, "-1,-1,-1,0", 50), (3, "1,1,0,1", 10)]
+    model = pii.learn(counts)
+    assert model.accepted[3, "1,1,1,1"] > 0.5 > model.accepted[3, "-1,-1,-1,0"]
+    assert model.reliability[3, 0] > model.reliability[3, 1]
+
+
+def test_redact(edge, spark):
+    df = spark.createDataFrame([(1, "mail a@b.co now", 15), (2, "none", 4), (3, None, None), (4, "joe [at] mail [dot] com, call +1 (555) 123-4567!", 48)], "doc_id long, text string, n_chars long")
+    got = {r.doc_id: r for r in pii.redact(df).collect()}
+    assert got[1].text == "mail <EMAIL> now" and got[1].n_chars == 16 and got[2].text == "none" and got[3].text is None
+    assert "<PHONE>" in got[4].text
+    assert pii.redact(edge).columns == edge.columns and pii.redact(edge).count() == edge.count()
+
+
+def test_pii_edges(edge, nothing):
+    got = {r.doc_id: r for r in pii.report(edge).collect()}
+    assert got[10].n_email == 1 and got[10].n_ip == 1 and got[1].spans == ""
+    assert pii.report(edge).count() == edge.count() and pii.report(nothing).count() == 0
+
+
+# ---- 4 ----
+
+
+def tiktoken_of():
+    import tiktoken
+
+    with open(RANKS, "rb") as f:
+        ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
+    return tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+
+
+def test_bpe(documents, edge):
+    e = tiktoken_of()
+    for df in (documents, edge):
+        want = collections.Counter()
+        for r in df.select("doc_id", "text").collect():
+            ids = e.encode_ordinary(r.text or "")
+            want[r.doc_id, len(ids), brute.sha(",".join(map(str, ids))), brute.sha(r.text or ""), ",".join(map(str, ids)), r.text or ""] += 1
+        assert collections.Counter(map(tuple, bpe.encode(df, RANKS, public_tokenizers.PATTERN).collect())) == want
+
+
+def test_bpe_words():
+    e, mine = tiktoken_of(), bpe.encoder(RANKS, public_tokenizers.PATTERN)
+    rng = np.random.default_rng(4)
+    alphabet = ["a", "b", " ", "  ", "\n", "\t", "'s", "1", "é", "😀", "\xa0", "\u2003", "\x1c", "\x85", "!", "Ç", "×", "<|endoftext|>", "ab" * 90]
+    texts = ["", "a" * 3000, " " * 500, "\n" * 300 + " x"] + ["".join(rng.choice(alphabet, rng.integers(1, 40))) for _ in range(1500)]
+    for t, (ids, back) in zip(texts, mine.texts(pa.array(texts)), strict=True):
+        assert ids == ",".join(map(str, e.encode_ordinary(t))) and back == t.encode()
+
+
+def test_bpe_empty(nothing):
+    assert bpe.encode(nothing, RANKS, public_tokenizers.PATTERN).count() == 0
+
+
+# ---- 5 ----
+
+
+def test_lookup_table():
+    names = [f"s{i}" for i in range(20)]
+    full, less = sharding.lookup_table(names, 5003), sharding.lookup_table(names[:-1], 5003)
+    share = np.bincount(full, minlength=20)
+    assert share.max() - share.min() <= 1
+    moved = (full != less) & (full != 19)
+    assert moved.mean() < 0.1
+    with pytest.raises(ValueError):
+        sharding.lookup_table(names, 5000)
+
+
+def test_sharding_edges(edge, nothing):
+    got = collections.defaultdict(set)
+    for r in sharding.assign(edge, "doc_id", ["a", "b", "c"], 101).collect():
+        got[r.doc_id].add((r.slot, r.shard))
+    assert sharding.assign(edge, "doc_id", ["a", "b"], 101).count() == edge.count()
+    assert all(len(v) == 1 for v in got.values())
+    assert sharding.assign(nothing, "doc_id", ["a"], 101).count() == 0
+
+
+# ---- 6 ----
+
+
+def test_exact_edges(edge, nothing):
+    got = collections.defaultdict(list)
+    for r in exact_dedup.exact_dedup(edge, keep="largest", fan=2).collect():
+        got[r.doc_id].append((r.keep_id, r.group_size, r.kept))
+    assert got[1] == [(2, 3, False)] and got[2] == [(2, 3, True)]
+    assert got[4] == got[5] == [(6, 4, False)] and got[6] == [(6, 4, True)] * 2
+    assert sorted(got[None], key=str) == sorted([(None, 1, True), (2, 3, False)], key=str)
+    assert exact_dedup.exact_dedup(edge, keep="smallest").where("doc_id = 4").first().kept
+    assert exact_dedup.exact_dedup(nothing).count() == 0
+
+
+# ---- 7 ----
+
+
+def test_packing(documents, edge):
+    import tokenizers
+
+    t = tokenizers.Tokenizer.from_file(WORDS)
+    for df in (documents, edge):
+        want, total = collections.Counter(), 0
+        for r in df.select("doc_id", "text").collect():
+            ids = [*t.encode(r.text or "", add_special_tokens=False).ids, 0]
+            total += len(ids)
+            for k in range(0, len(ids), 2048):
+                part = ids[k : k + 2048]
+                want[r.doc_id, k // 2048, k, len(part), zlib.crc32(np.array(part, "<u4").tobytes()), tuple(part)] += 1
+        rows = packing.pack(df, WORDS).collect()
+        assert collections.Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32, tuple(r.ids)) for r in rows) == want
+        bins = collections.defaultdict(list)
+        for r in rows:
+            bins[r.sequence_id].append((r.offset, r.length))
+        for own in bins.values():
+            end = 0
+            for offset, n in sorted(own):
+                assert offset == end
+                end += n
+            assert end <= 2048
+        assert len(bins) <= 1.1 * -(-total // 2048) + 2
+
+
+def test_sum_of_squares():
+    p = packing.Packer(10)
+    rng = np.random.default_rng(1)
+    for size in rng.integers(1, 11, 300).tolist():
+        before = p.count.copy()
+
+        def square(change):
+            n = before.copy()
+            for gap, d in change:
+                n[gap] += d
+            return int((n[1:10] ** 2).sum())
+
+        options = [square([(size and 10 - size, 1)] if size < 10 else [])]
+        options += [square([(g, -1)] + ([(g - size, 1)] if g > size else [])) for g in range(size, 10) if before[g]]
+        p.place(size)
+        assert int((p.count[1:10] ** 2).sum()) == min(options)
+
+
+def test_packing_empty(nothing):
+    assert packing.pack(nothing, WORDS, keep=False).count() == 0
+
+
+# ---- 8 ----
+
+
+@pytest.mark.parametrize(("shard", "rows"), [(1 << 20, 20_000), (2_000, 20_000), (2_000, 2)])
+def test_suffix(spark, monkeypatch, shard, rows):
+    monkeypatch.setattr(suffix, "SHARD_BYTES", shard)
+    monkeypatch.setattr(suffix, "MOST_ROWS", rows)
+    rng = np.random.default_rng(9)
+    base = "".join(map(chr, rng.integers(97, 123, 400)))
+    texts = []
+    for i in range(50):
+        b = list(base)
+        for _ in range(i % 4):
+            b[rng.integers(0, 400)] = "#"
+        texts.append("".join(b)[rng.integers(0, 100) : rng.integers(200, 400)])
+    texts += ["a" * 700, "", "xy" * 200, "é" * 150, base + base, "a" * 99, base[:100], base[1:100], "\0" * 130]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    want = brute.repeated({i: t.encode() for i, t in enumerate(texts)})
+    got = suffix.substring_dedup(df).collect()
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in got} == want
+    assert all(brute.sha(bytes(r.kept)) == r.kept_sha256 for r in got)
+
+
+def test_suffix_documents(documents):
+    want = brute.repeated({i: t.encode() for i, t in texts_of(documents).items()})
+    assert {r.doc_id: tuple(r)[1:] for r in suffix.substring_dedup(documents, keep=False).collect()} == want
+
+
+def test_suffix_array():
+    rng = np.random.default_rng(3)
+    strings = [bytes(rng.integers(97, 99, n).astype(np.uint8)) for n in (5, 0, 60, 60, 200)] + [b"ab" * 40, b"\0\0"]
+    ends = np.cumsum([len(x) + 1 for x in strings]) - 1
+    text = np.frombuffer(b"".join(x + b"\0" for x in strings), np.uint8).astype(np.int64) + 1
+    text[ends] = 0
+    order, rank = suffix.suffix_array(text, ends)
+    end = ends[np.searchsorted(ends, np.arange(len(text)))]
+    assert order.tolist() == sorted(range(len(text)), key=lambda i: [10**6 + int(c) for c in text[i : end[i]]] + [int(end[i])])
+
+    def common(i, j):
+        k = 0
+        while i + k < end[i] and j + k < end[j] and text[i + k] == text[j + k]:
+            k += 1
+        return k
+
+    assert suffix.kasai(text, order, rank, ends).tolist() == [0] + [common(order[k - 1], order[k]) for k in range(1, len(text))]
+
+
+def test_suffix_edges(edge, nothing):
+    got = collections.defaultdict(list)
+    for r in suffix.substring_dedup(edge).collect():
+        got[r.doc_id].append((r.n_bytes, r.n_removed))
+    assert got[1] == got[2] == [(0, 0)] and got[4][0][1] == 0 and got[6] == [(131, 131)] * 2
+    assert got[9] == [(50_000, 49_999)]
+    assert got[8][0][1] == got[7][0][0] and sorted(got[None]) == [(0, 0), (15, 0)]
+    assert suffix.substring_dedup(nothing).count() == 0
+
+
+# ---- 9 ----
+
+
+def test_toxicity(spark):
+    rng = np.random.default_rng(0)
+    rows = []
+    for i in range(1500):
+        own = ["".join(rng.choice(list("abcdefgh"), rng.integers(2, 8))) for _ in range(rng.integers(5, 120))]
+        bad = i % 9 == 0
+        if bad:
+            own[rng.integers(0, len(own))] = rng.choice(["moronic", "zqworthless"])
+        rows.append((i, " ".join(own), int(bad)))
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int").repartition(3)
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    got = {r.doc_id: r for r in toxicity.score(df.select("doc_id", "text"), model).collect()}
+    out = [(got[i].predicted, y) for i, _, y in rows if got[i].held_out]
+    assert 0.15 < len(out) / len(rows) < 0.25
+    assert np.mean([p == y for p, y in out]) > 0.97
+    assert all(got[i].held_out == (zlib.crc32(str(i).encode()) % 5 == 0) for i in got)
+    again = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert np.array_equal(model.weight, again.weight)
+
+
+def test_toxicity_edges(edge, nothing, spark):
+    labels = spark.createDataFrame([(4, 0, 0), (12, 0, 1), (11, 0, 0), (None, 0, 1), (7, 0, None)], "doc_id long, quality int, toxic int")
+    model = toxicity.train(edge, labels)
+    got = toxicity.score(edge, model).collect()
+    assert len(got) == edge.count() and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in got)
+    assert toxicity.score(nothing, model).count() == 0
+    clean = toxicity.keep_clean(edge, model)
+    assert clean.columns == edge.columns and clean.count() == sum(r.predicted == 0 for r in got)
+    none = toxicity.train(edge, labels.limit(0))
+    assert {r.predicted for r in toxicity.score(edge, none).collect()} == {0}
+
+
+# ---- 10 ----
+
+
+def test_urls(spark):
+    rules = spark.createDataFrame([("b.org", "/x", "block"), ("org", "/", "allow"), ("b.org", None, "allow"), ("c.net", "/", "block"), ("C.NET", "/", "block")], "host string, path string, verdict string")
+    urls = ["http://a.b.org/xy?q", "https://B.ORG/z", "ftp://org", "http://ab.org/x", "nothing", None, "x://://y.org/a", "http://c.net/\nq#f", "http://notc.net/", "http://c.net/", "http://c.net/"]
+    pages = spark.createDataFrame([(i % 10, u, "clash") for i, u in enumerate(urls)], "page_id long, url string, host string")
+    got = collections.Counter(tuple(r) for r in url_filter.judge(pages, rules).collect())
+    want = collections.Counter({
+        (0, "a.b.org", "/xy", "b.org/x", "block"): 1, (1, "b.org", "/z", "b.org", "allow"): 1, (2, "org", "", None, "allow"): 1, (3, "ab.org", "/x", "org/", "allow"): 1, (4, "", "", None, "allow"): 1,
+        (5, "", "", None, "allow"): 1, (6, ":", "//y.org/a", None, "allow"): 1, (7, "c.net", "/\nq", "c.net/", "block"): 1, (8, "notc.net", "/", None, "allow"): 1, (9, "c.net", "/", "c.net/", "block"): 1, (0, "c.net", "/", "c.net/", "block"): 1,
+    })
+    assert got == want
+    assert url_filter.judge(pages.limit(0), rules).count() == 0
+    assert {r.verdict for r in url_filter.judge(pages, rules.limit(0)).collect()} == {"allow"}
+
+
+def test_bloom(spark):
+    keys = spark.range(3000).selectExpr("concat('k', id) AS key")
+    words, blocks = url_filter.bloom(keys, 3000)
+    probe = spark.range(20_000).selectExpr("concat('k', id) AS key", "id < 3000 AS listed").crossJoin(words)
+    from pyspark.sql import functions as F
+
+    hit = probe.groupBy("listed").agg(F.avg(url_filter._passes(F.col("key"), F.col("words"), blocks).cast("int")).alias("p"))
+    rate = {r.listed: r.p for r in hit.collect()}
+    assert rate[True] == 1.0 and rate[False] < 0.02
