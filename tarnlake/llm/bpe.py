@@ -14,33 +14,41 @@ import hashlib
 import heapq
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import shared
 
-#: Words in one recursive query, entries in a worker's memory of words, and the longest word in bytes
-#: for the recursion, whose rows grow as the square of that; longer ones take a heap by the same rule.
-BATCH, MEMORY, LONG = 50_000, 400_000, 128
+#: Words in one recursive query, words in a worker's memory (about 300 bytes each), and the longest word in
+#: bytes for the recursion, whose rows grow as the square of that; longer ones take a heap by the same rule.
+BATCH, MEMORY, LONG = 50_000, 600_000, 128
 
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+
+#: Kinds of bytes where words can be cut by array operations: white space, letters, digits, marks. A text
+#: with any other byte (an apostrophe, which starts contractions, among them) is cut by the pattern itself.
+_KIND = np.zeros(256, np.uint8)
+_KIND[33:127] = 4
+_KIND[ord("'")] = 0
+_KIND[[32, *range(9, 14)]] = 1
+_KIND[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = 2
+_KIND[[0x97, 0xB7]] = 0
+_KIND[48:58] = 3
 
 _ENCODE = """
 WITH RECURSIVE state(step, w, p, t) AS (
     SELECT 0, w, p, t FROM fresh
     UNION ALL
-    (WITH pairs AS (
-        SELECT step, w, p, t, lead(t) OVER o AS nt, lead(p) OVER o AS np FROM state WINDOW o AS (PARTITION BY w ORDER BY p)),
-     least AS (
-        SELECT pairs.w, min(merges.rank::BIGINT * 65536 + pairs.p) AS k
-        FROM pairs JOIN merges ON merges.l = pairs.t AND merges.r = pairs.nt GROUP BY pairs.w),
-     gone AS (SELECT pairs.w, pairs.np FROM pairs JOIN least ON pairs.w = least.w AND pairs.p = least.k % 65536)
-     SELECT step + 1, pairs.w, pairs.p, CASE WHEN pairs.p = least.k % 65536 THEN (least.k // 65536)::INT ELSE pairs.t END
-     FROM pairs JOIN least ON pairs.w = least.w LEFT JOIN gone ON gone.w = pairs.w AND gone.np = pairs.p
-     WHERE gone.w IS NULL)
+    (WITH least AS (
+        SELECT a.w, min(merges.rank::BIGINT * 65536 + a.p) AS k
+        FROM state a JOIN state b ON a.w = b.w AND b.p = a.p + 1 JOIN merges ON merges.l = a.t AND merges.r = b.t GROUP BY a.w)
+     SELECT step + 1, s.w, CASE WHEN s.p > k % 65536 THEN s.p - 1 ELSE s.p END::INT, CASE WHEN s.p = k % 65536 THEN (k // 65536)::INT ELSE s.t END
+     FROM state s JOIN least ON s.w = least.w
+     WHERE s.p <> k % 65536 + 1)
 ),
 final AS (SELECT w, max(step) AS step FROM state GROUP BY w)
-SELECT w, string_agg(t::VARCHAR, ',' ORDER BY p) AS ids, string_agg(hex, '' ORDER BY p) AS hex
+SELECT w, string_agg(t::VARCHAR, ',' ORDER BY p) || ',' AS ids, string_agg(hex, '' ORDER BY p) AS hex
 FROM state JOIN final USING (w, step) JOIN vocabulary USING (t) GROUP BY w
 """
 
@@ -61,7 +69,6 @@ class Encoder:
         # \s as Unicode's White_Space, which the pattern's own library takes it for
         pattern = pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
         self.find = regex.compile(pattern).findall
-        self.mixed = regex.compile(f"[{_SPACE}] | [{_SPACE}]").search
         left, right, rank = [], [], []
         for token, r in self.ranks.items():
             for i in range(1, len(token)):
@@ -72,39 +79,57 @@ class Encoder:
         self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
         self._table("merges", {"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "rank": pa.array(rank, pa.int32())})
         self._table("vocabulary", {"t": pa.array(self.ranks.values(), pa.int32()), "hex": [x.hex() for x in self.ranks]})
-        self.words: dict[str, tuple[str, bytes]] = {}
-        self.forget()
-
-    def forget(self) -> None:
-        self.words.clear()
-        #: By chunk of a text: what stands before the first space, and what follows a space.
-        self.first: dict[str, tuple[str, bytes]] = {}
-        self.later: dict[str, tuple[str, bytes]] = {}
+        single = [self.ranks[bytes([x])] for x in range(256)]
+        self.byte = np.array(single, np.int32)
+        #: By word: its ids as text, each with a comma after it, and the bytes that they decode to.
+        self.words: dict[bytes, tuple[str, bytes]] = {}
 
     def _table(self, name: str, columns: dict) -> None:
         self.db.register("given", pa.table(columns))
         self.db.execute(f"CREATE OR REPLACE TABLE {name} AS SELECT * FROM given").fetchall()
         self.db.unregister("given")
 
-    def learn(self, words: set[str]) -> None:
-        """Encode the words that aren't in memory."""
-        fresh = sorted(words - self.words.keys())
-        short = []
-        for w in fresh:
-            if len(b := w.encode()) > LONG:
-                self.words[w] = self.by_heap(b)
-            else:
-                short.append((w, b))
+    def learn(self, words: list[bytes]) -> None:
+        """Encode words, none twice."""
+        for w in words:
+            if len(w) > LONG:
+                self.words[w] = self.by_heap(w)
+        short = [w for w in words if len(w) <= LONG]
         for at in range(0, len(short), BATCH):
             part = short[at : at + BATCH]
-            ws, ps, ts = [], [], []
-            for i, (_, b) in enumerate(part):
-                ws += [i] * len(b)
-                ps += range(len(b))
-                ts += [self.ranks[b[j : j + 1]] for j in range(len(b))]
-            self._table("fresh", {"w": pa.array(ws, pa.int32()), "p": pa.array(ps, pa.int32()), "t": pa.array(ts, pa.int32())})
+            length = np.fromiter(map(len, part), np.int64, len(part))
+            start = np.cumsum(length) - length
+            t = self.byte[np.frombuffer(b"".join(part), np.uint8)]
+            self._table("fresh", {"w": np.repeat(np.arange(len(part), dtype=np.int32), length), "p": (np.arange(len(t)) - np.repeat(start, length)).astype(np.int32), "t": t})
             for i, ids, text in self.db.execute(_ENCODE).fetchall():
-                self.words[part[i][0]] = ids, bytes.fromhex(text)
+                self.words[part[i]] = ids, bytes.fromhex(text)
+
+    def cut(self, offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Which texts are plain, and the words of those: text, start, end.
+
+        A word is a run of one kind, with a space before it if there is one. Of other white space before a
+        word all but its last byte is one word and the last another; at the end of a text it is one word.
+        """
+        n = len(data)
+        kind = _KIND[data]
+        odd = kind == 0
+        lead, rest = data == 0xC3, (data >= 0x80) & (data < 0xC0)
+        odd[1:] |= lead[:-1] != rest[1:]
+        odd[:1] |= rest[:1]
+        odd[-1:] |= lead[-1:]
+        plain = np.diff(np.concatenate([[0], np.cumsum(odd)])[offsets]) == 0
+        first = np.zeros(n + 1, bool)
+        first[offsets] = True
+        begin = first[:-1].copy()
+        begin[1:] |= kind[1:] != kind[:-1]
+        after = np.flatnonzero((kind[1:] != 1) & (kind[:-1] == 1) & ~first[1:-1]) + 1
+        begin[after - 1] = True
+        begin[after[data[after - 1] == 32]] = False
+        starts = np.flatnonzero(begin)
+        ends = np.append(starts[1:], n)
+        text = np.searchsorted(offsets, starts, "right") - 1
+        good = plain[text]
+        return plain, text[good], starts[good], ends[good]
 
     def by_heap(self, b: bytes) -> tuple[str, bytes]:
         """The same rule for a very long word, in its length times the logarithm of that."""
@@ -128,37 +153,30 @@ class Encoder:
             offer(i)
             offer(before[i])
         ids = [self.ranks[t] for t in tokens if t is not None]
-        return ",".join(map(str, ids)), b"".join(t for t in tokens if t is not None)
-
-    def texts(self, texts: list[str]) -> Iterator[tuple[str, bytes]]:
-        """For each text its ids, joined by commas, and the bytes that they decode to.
-
-        A space between two other characters that aren't white space begins a word, so texts are cut
-        there first and the chunks remembered; a text with other white space beside a space is cut whole.
-        """
-        if len(self.words) + len(self.first) + len(self.later) > MEMORY:
-            self.forget()
-        cut = [None if self.mixed(t) else t.split(" ") for t in texts]
-        first = {c[0] for c in cut if c} - self.first.keys()
-        later = {x for c in cut if c for x in c[1:]} - self.later.keys()
-        whole = {i: self.find(t) for i, t in enumerate(texts) if cut[i] is None}
-        parts = {x: self.find(x) for x in first}
-        spaced = {x: self.find(" " + x) for x in later}
-        self.learn({w for some in (parts, spaced, whole) for ws in some.values() for w in ws})
-        get = self.words.__getitem__
-
-        def joined(ws: list[str]) -> tuple[str, bytes]:
-            found = list(map(get, ws))
-            return ",".join([x[0] for x in found]), b"".join([x[1] for x in found])
-
-        self.first.update((x, joined(ws)) for x, ws in parts.items())
-        self.later.update((x, joined(ws)) for x, ws in spaced.items())
-        for i, c in enumerate(cut):
-            if c is None:
-                yield joined(whole[i])
+        return "".join(f"{i}," for i in ids), b"".join(t for t in tokens if t is not None)
+
+    def texts(self, texts: pa.Array) -> Iterator[tuple[str, bytes]]:
+        """For each text its ids, joined by commas, and the bytes that they decode to."""
+        if len(self.words) > MEMORY:
+            self.words.clear()
+        offsets, data = shared.bytes_of(texts)
+        plain, text, starts, ends = self.cut(offsets, data)
+        _, at, which = np.unique(shared.span_hash(shared.prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
+        raw = data.tobytes()
+        words = [raw[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        others = np.flatnonzero(~plain)
+        own = {d: [w.encode() for w in self.find(t)] for d, t in zip(others.tolist(), texts.take(pa.array(others)).to_pylist(), strict=True)}
+        self.learn(list(set(words).union(*own.values()) - self.words.keys()))
+        found = [self.words[w] for w in words]
+        ids, back = [x for x, _ in found].__getitem__, [x for _, x in found].__getitem__
+        bounds = np.searchsorted(text, np.arange(len(plain) + 1)).tolist()
+        for d, (i, j) in enumerate(zip(bounds[:-1], bounds[1:], strict=True)):
+            if d in own:
+                each = [self.words[w] for w in own[d]]
+                yield "".join([x for x, _ in each])[:-1], b"".join([x for _, x in each])
             else:
-                found = [self.first[c[0]], *map(self.later.__getitem__, c[1:])]
-                yield ",".join([x[0] for x in found if x[0]]), b"".join([x[1] for x in found])
+                k = which[i:j].tolist()
+                yield "".join(map(ids, k))[:-1], b"".join(map(back, k))
 
 
 _encoders: dict[tuple[str, str], Encoder] = {}
@@ -184,7 +202,7 @@ def encode(docs: DataFrame, path: str, pattern: str, keep: bool = True) -> DataF
         e = encoder(path, pattern)
         for b in shared.pieces(batches):
             n, ids, decoded, ids_sha, decoded_sha = [], [], [], [], []
-            for some, back in e.texts(b.column("text").to_pylist()):
+            for some, back in e.texts(b.column("text")):
                 n.append(some.count(",") + 1 if some else 0)
                 ids_sha.append(hashlib.sha256(some.encode()).hexdigest())
                 decoded_sha.append(hashlib.sha256(back).hexdigest())
