@@ -40,9 +40,9 @@ def levels(data: np.ndarray) -> np.ndarray:
     if n < WINDOW:
         return np.zeros(0, np.int64)
     order = np.argsort(data, kind="stable")
-    value, place = data[order], order.astype(np.int64)
+    value, place = data[order], order.astype(np.int32)
     back, ahead = np.zeros(n, np.int8), np.zeros(n, np.int8)
-    active = np.arange(1, n)
+    active = np.arange(1, n, dtype=np.int32)
     for k in range(1, WINDOW):
         near = (value[active - k] == value[active]) & (place[active] - place[active - k] < WINDOW)
         active = active[near]
@@ -94,41 +94,38 @@ def ranks(counts: np.ndarray) -> np.ndarray:
     return out
 
 
-def features(offsets: np.ndarray, data: np.ndarray, rank: np.ndarray) -> list[np.ndarray]:
-    """The distinct feature hashes of each text, in the order in which they come.
-
-    The window of smallest rank of a text is always one; a text shorter than a window is one itself.
-    """
-    n, count = len(data), len(offsets) - 1
-    out: list[np.ndarray] = [np.zeros(0, _U)] * count
-    if not n:
-        return out
-    s = shared.prefix_hash(data)
-    length = np.diff(offsets)
-    short = np.flatnonzero((length > 0) & (length < WINDOW))
-    for d, h in zip(short.tolist(), shared.span_hash(s, offsets[short], offsets[short + 1]), strict=True):
-        out[d] = np.array([h], _U)
-    long = np.flatnonzero(length >= WINDOW)
-    if not len(long):
-        return out
+def winners(offsets: np.ndarray, data: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Windows of each text that win often enough: their places in data, sorted, and hashes."""
+    n = len(data)
+    if n < WINDOW + NEIGHBOURS - 1:
+        return np.zeros(0, np.int64), np.zeros(0, _U)
     inside = _inside(offsets, n, WINDOW)
     key = np.where(inside, rank[levels(data)] << 40 | np.arange(len(inside)), np.iinfo(np.int64).max)
-    mask = (1 << 40) - 1
-    chosen = np.zeros(len(key), bool)
-    if len(key) >= NEIGHBOURS:
-        best = shared.sliding_min(key, NEIGHBOURS)
-        best = best[_inside(offsets, n, WINDOW + NEIGHBOURS - 1)[: len(best)]] & mask
-        chosen |= np.bincount(best, minlength=len(key)) >= WINS
-    bounds = np.stack([offsets[long], offsets[long + 1] - WINDOW + 1], 1).ravel()
-    bounds = bounds[:-1] if bounds[-1] >= len(key) else bounds
-    chosen[np.minimum.reduceat(key, bounds)[::2] & mask] = True
-    at = np.flatnonzero(chosen)
-    h = shared.span_hash(s, at, at + WINDOW)
-    cut = np.searchsorted(at, offsets)
-    for d in long.tolist():
-        own = h[cut[d] : cut[d + 1]]
-        out[d] = own[np.sort(np.unique(own, return_index=True)[1])]
-    return out
+    best = shared.sliding_min(key, NEIGHBOURS)
+    best = best[_inside(offsets, n, WINDOW + NEIGHBOURS - 1)[: len(best)]] & ((1 << 40) - 1)
+    at = np.flatnonzero(np.bincount(best, minlength=len(key)) >= WINS)
+    return at, shared.span_hash(shared.prefix_hash(data), at, at + WINDOW)
+
+
+def lone(data: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """The feature of a text in which no window wins often enough: its first window of smallest rank, or the
+    whole text where that is shorter; none of an empty text."""
+    n = len(data)
+    at = int(rank[levels(data)].argmin()) if n >= WINDOW else 0
+    return shared.span_hash(shared.prefix_hash(data), np.array([at]), np.array([min(n, at + WINDOW)])) if n else np.zeros(0, _U)
+
+
+def _first(hashes: np.ndarray) -> np.ndarray:
+    """Each hash once, in the order in which they come."""
+    return hashes[np.sort(np.unique(hashes, return_index=True)[1])]
+
+
+def features(offsets: np.ndarray, data: np.ndarray, rank: np.ndarray) -> list[np.ndarray]:
+    """The distinct feature hashes of each text, in the order in which they come."""
+    at, h = winners(offsets, data, rank)
+    cut = np.searchsorted(at, offsets).tolist()
+    bounds = offsets.tolist()
+    return [_first(h[i:j]) if j > i else lone(data[a:b], rank) for i, j, a, b in zip(cut[:-1], cut[1:], bounds[:-1], bounds[1:], strict=True)]
 
 
 def chain(hashes: np.ndarray) -> np.ndarray:
@@ -167,9 +164,8 @@ def read(fingerprint: str) -> np.ndarray:
     return np.unpackbits(raw.reshape(-1, BITS // 8), axis=1).astype(bool)
 
 
-def fingerprints(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
-    """The chain of each text, a bounded number of bytes at a time."""
-    out: list[np.ndarray] = []
+def _joined(texts: list[bytes]) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """Slices of the list with a bounded number of bytes: first, last + 1, offsets, bytes."""
     at = 0
     while at < len(texts):
         end, size = at, 0
@@ -177,8 +173,33 @@ def fingerprints(texts: list[bytes], rank: np.ndarray) -> list[np.ndarray]:
             size += len(texts[end])
             end += 1
         offsets = np.concatenate([[0], np.cumsum([len(t) for t in texts[at:end]])]).astype(np.int64)
-        out += [chain(h) for h in features(offsets, np.frombuffer(b"".join(texts[at:end]), np.uint8), rank)]
+        yield at, end, offsets, np.frombuffer(b"".join(texts[at:end]), np.uint8)
         at = end
+
+
+def winners_of(texts: list[bytes], rank: np.ndarray) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Places within the text, and hashes, of each text's winners."""
+    out = []
+    for _, _, offsets, data in _joined(texts):
+        at, h = winners(offsets, data, rank)
+        cut = np.searchsorted(at, offsets).tolist()
+        out += [(at[i:j] - a, h[i:j]) for i, j, a in zip(cut[:-1], cut[1:], offsets[:-1].tolist(), strict=True)]
+    return out
+
+
+def _chain_of(text: bytes, hashes: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    return chain(_first(hashes) if len(hashes) else lone(np.frombuffer(text, np.uint8), rank))
+
+
+def edited_winners(texts: list[tuple[bytes, int, tuple[np.ndarray, np.ndarray]]], rank: np.ndarray) -> list[np.ndarray]:
+    """Hashes of the winners of texts that begin as another text does. texts: the bytes, how many of them are
+    the other's, and the other's winners. Winners that the change can't reach are taken over."""
+    reach = WINDOW + NEIGHBOURS - 1
+    tails = [t[max(0, same - reach - NEIGHBOURS + 1) :] for t, same, _ in texts]
+    out = []
+    for (t, same, (at, h)), (own, mine) in zip(texts, winners_of(tails, rank), strict=True):
+        kept, shift = same - reach, len(t) - len(t[max(0, same - reach - NEIGHBOURS + 1) :])
+        out.append(np.concatenate([h[at <= kept], mine[own + shift > kept]]))
     return out
 
 
@@ -208,15 +229,19 @@ def _stream(batches: Iterator[pa.RecordBatch], rank: np.ndarray) -> Iterator[pa.
     part, held = None, None
     for b in shared.pieces(batches):
         rows = list(zip(b.column("part").to_pylist(), b.column("guest").to_pylist(), b.column("doc_id").to_pylist(), b.column("text").to_pylist(), strict=True))
-        chains = fingerprints([t.encode() for _, _, _, t in rows], rank)
         met: list[tuple] = []  # a row with the one after it
-        for (p, guest, doc_id, text), own in zip(rows, chains, strict=True):
+        for (p, guest, doc_id, text), own in zip(rows, winners_of([t.encode() for _, _, _, t in rows], rank), strict=True):
+            now = (doc_id, text, own, _chain_of(text.encode(), own[1], rank))
             if held is not None and p == part:
-                met.append((*held, text, own))
-            part, held = p, None if guest else (doc_id, text, own)
-        edits = [_edited(m[1], m[3]).encode() for m in met]
+                met.append((held, now))
+            part, held = p, None if guest else now
+        edits = []
+        for (_, text, own, _), (_, after, _, _) in met:
+            whole = _edited(text, after)
+            edits.append((whole.encode(), len(text[: len(text) - len(text) // 4].encode()), own))
         out = []
-        for (doc_id, text, own, _, after), raw, edit in zip(met, edits, fingerprints(edits, rank), strict=True):
+        for ((doc_id, text, _, own), (_, _, _, after)), (raw, _, _), h in zip(met, edits, edited_winners(edits, rank), strict=True):
+            edit = _chain_of(raw, h, rank)
             out.append((doc_id, len(text), hashlib.sha256(raw).hexdigest(), written(own), written(edit), likeness(own, edit), likeness(own, after)))
         yield pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*out, strict=True) if out else [[]] * 7, types, strict=True)], names)
 
