@@ -117,7 +117,20 @@ def op10_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), rules)
 
 
-@query("op1_minhash_near_dedup")
+@query(
+    "op1_minhash_near_dedup",
+    rf"""
+    WITH RECURSIVE w AS (SELECT doc_id, list_filter(string_split_regex({_LOWERED}, '[ \t-\r]+'), lambda x: x <> '') AS w FROM documents),
+    s AS (SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [w] ELSE list_distinct(list_transform(range(len(w) - 4), lambda i: w[i + 1:i + 5])) END AS s FROM w),
+    sets AS (SELECT s, min(doc_id) AS rep, len(s) AS n FROM (SELECT doc_id, list_sort(s) AS s FROM s WHERE len(s) > 0) GROUP BY s),
+    e AS (SELECT rep, n, unnest(s) AS g FROM sets),
+    links AS (SELECT a.rep AS a, b.rep AS b FROM e a JOIN e b ON a.g = b.g AND a.rep <> b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 85 * (a.n + b.n - count(*))),
+    reach(a, b) AS (SELECT rep, rep FROM sets UNION SELECT r.a, l.b FROM reach r JOIN links l ON l.a = r.b),
+    low AS (SELECT a, min(b) AS component FROM reach GROUP BY a)
+    SELECT s.doc_id, len(s.s) AS n_shingles, coalesce(component, s.doc_id) AS component_id, coalesce(component, s.doc_id) = s.doc_id AS kept
+    FROM s LEFT JOIN sets ON sets.s = list_sort(s.s) LEFT JOIN low ON low.a = sets.rep
+    """,
+)
 def op1_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_dedup(table(spark, sf_dir, "documents"))
 
@@ -127,7 +140,22 @@ def op2_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
     return fingerprint.compare_with_next(table(spark, sf_dir, "documents"))
 
 
-@query("op8_suffix_array_dedup")
+@query(
+    "op8_suffix_array_dedup",
+    """
+    WITH d AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+    w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 200)) AS k FROM (SELECT doc_id, h, unnest(range(greatest(length(h) // 2 - 99, 0))) AS p FROM d)),
+    again AS (SELECT doc_id, p FROM (SELECT doc_id, p, row_number() OVER (PARTITION BY k ORDER BY doc_id, p) AS n FROM w) WHERE n > 1),
+    runs AS (SELECT doc_id, min(p) AS a, max(p) + 100 AS b FROM (
+        SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS run FROM (
+            SELECT doc_id, p, (p > coalesce(lag(p) OVER (PARTITION BY doc_id ORDER BY p) + 100, -1))::INT AS fresh FROM again)) GROUP BY doc_id, run),
+    cuts AS (SELECT doc_id, count(*) AS n, sum(b - a) AS removed, list(a ORDER BY a) AS starts, list(b ORDER BY a) AS ends FROM runs GROUP BY doc_id)
+    SELECT doc_id, length(h) // 2 AS n_bytes, coalesce(removed, 0)::BIGINT AS n_removed, coalesce(n, 0) AS n_spans,
+           sha256(unhex(CASE WHEN n IS NULL THEN h ELSE array_to_string(list_transform(range(n + 1), lambda i: substr(h, CASE WHEN i = 0 THEN 1 ELSE 2 * ends[i] + 1 END,
+               CASE WHEN i < n THEN 2 * starts[i + 1] ELSE length(h) END - CASE WHEN i = 0 THEN 0 ELSE 2 * ends[i] END)), '') END)) AS kept_sha256
+    FROM d LEFT JOIN cuts USING (doc_id)
+    """,
+)
 def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.substring_dedup(table(spark, sf_dir, "documents"), keep=False)
 
