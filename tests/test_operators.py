@@ -163,3 +163,33 @@ def test_sliding_stream(spark, tmp_path):
     q.awaitTermination()
     got = {r.start_hour: r.n for r in spark.table("slide").collect()}
     assert got[0] == 24 and got[-12] == 12
+
+
+def test_embedder(spark):
+    from tarnlake.functions import models
+
+    class Lengths:
+        name, dimension = "lengths", 2
+
+        def embed(self, texts):
+            return [[len(t), 1.0] for t in texts]
+
+    df = spark.createDataFrame([(1, "abc"), (2, None), (3, "")], "id long, content string")
+    assert {r.id: r.embedding for r in models.apply_embedder(df, Lengths).collect()} == {1: [3.0, 1.0], 2: None, 3: [0.0, 1.0]}
+    v = {r.id: r.v for r in df.select("id", models.hashed_embedding(F.coalesce("content", F.lit("")), 8).alias("v")).collect()}
+    assert v[3] is None and abs(sum(x * x for x in v[1]) - 1) < 1e-9
+
+
+def test_schedule(spark):
+    import time
+
+    from tarnlake.streaming import schedule
+
+    ran = []
+    q = schedule.every(spark, 0.01, lambda s, n: ran.append(n))
+    for _ in range(100):
+        if ran:
+            break
+        time.sleep(0.2)
+    q.stop()
+    assert ran
