@@ -12,6 +12,7 @@ from typing import Protocol
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from . import text, vector
 
@@ -49,7 +50,7 @@ def hashed_embedding(c: Column, dimension: int = 64) -> Column:
 
 def apply_embedder(rows: DataFrame, make: type[Embedder], column: str = "content", batch: int = 64) -> DataFrame:
     """rows with an embedding by a model made once for each task; texts go to it in small batches. Null texts have none."""
-    schema = rows.drop("embedding").schema.add("embedding", "array<float>")
+    schema = rows.drop("embedding").schema.add("embedding", T.ArrayType(T.FloatType()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = make()
