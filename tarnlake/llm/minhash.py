@@ -186,13 +186,16 @@ def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     text = shared.text_of(docs)
     keys = ["n_shingles", "key1", "key2"]
     marked = shared.staged(text.mapInArrow(_signatures, "doc_id long, n_shingles long, key1 long, key2 long, bands array<long>"), folder, "signatures")
-    classes = marked.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep"))
+    # small sides are staged, so that a join reads both sides from shuffles that skew handling can split
+    classes = shared.staged(marked.where("n_shingles > 0").groupBy(*keys).agg(F.min("doc_id").alias("rep")), folder, "classes")
     member = marked.join(classes, keys, "left").select("doc_id", "n_shingles", "rep", F.when(F.col("doc_id") == F.col("rep"), F.col("bands")).alias("bands"))
     member = shared.staged(member, folder, "members")
     shared.unstage(spark, folder, "signatures")
+    shared.unstage(spark, folder, "classes")
 
     rows = member.where("bands IS NOT NULL").select("rep", F.explode("bands").alias("band"))
     pivots = rows.groupBy("band").agg(F.min("rep").alias("pivot"), F.max("rep").alias("last")).where("pivot < last").select("band", "pivot")
+    pivots = shared.staged(pivots, folder, "pivots")
     pairs = rows.join(pivots, "band").where("rep <> pivot").select(F.col("rep").alias("a"), F.col("pivot").alias("b")).distinct()
     families = graph.components(pairs, folder, "families")
 
@@ -210,7 +213,7 @@ def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     if not found.where("many").isEmpty():
         links = found.where("many").select(F.col("node").alias("a"), F.col("comp").alias("b"))
         done = done.select("node", "comp").union(graph.components(links, folder, "blocks"))
-    done = done.groupBy("node").agg(F.min("comp").alias("comp"))
+    done = shared.staged(done.groupBy("node").agg(F.min("comp").alias("comp")), folder, "components")
     out = member.join(done, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("comp", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
