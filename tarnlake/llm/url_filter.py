@@ -82,8 +82,8 @@ def judge(pages: DataFrame, listed: DataFrame, default: str = "allow") -> DataFr
     lengths = sorted(size.lengths)
     starts = F.array(*(F.when(F.length("path") >= n, F.substring("path", 1, n)) for n in lengths)) if lengths else F.array().cast("array<string>")
     keys = F.flatten(F.transform(hosts, lambda h: F.transform(F.filter(starts, lambda p: p.isNotNull()), lambda p: F.concat(h, F.lit("|"), p))))
-    # the filter is one row of at most MOST_WORDS words
-    asked = urls.withColumn("keys", keys).join(F.broadcast(filter_row))
+    # the filter is one value of at most MOST_WORDS words, a scalar subquery
+    asked = urls.withColumns({"keys": keys, "words": filter_row.scalar()})
     asked = asked.select("page_id", "host", "path", "n", F.filter("keys", lambda k: _passes(k, F.col("words"), blocks)).alias("keys"))
     hits = asked.where(F.size("keys") > 0).select("page_id", "host", "path", "n", F.explode("keys").alias("key"))
     exact = hits.join(F.broadcast(listed) if size.n <= MOST_BROADCAST else listed, "key", "left")
