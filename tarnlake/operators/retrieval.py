@@ -111,9 +111,9 @@ def bm25(queries: DataFrame, rows: DataFrame, k: int, column: str = "content", k
     asked = queries.select("query_id", F.explode(text.lexemes(F.col("query"))).alias("lexeme"))
     sizes = post.groupBy("id", "words").agg(F.lit(1)).agg(F.count("*").alias("rows"), F.avg("words").alias("mean"))
     seen = post.join(asked.select("lexeme").distinct(), "lexeme", "left_semi").groupBy("lexeme").agg(F.count("*").alias("df"))
-    idf = F.log(F.lit(1.0) + (F.col("rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
-    tf = F.col("n") * (k1 + 1) / (F.col("n") + k1 * (1 - b + b * F.col("words") / F.col("mean")))
-    hit = post.join(asked, "lexeme").join(seen, "lexeme").join(F.broadcast(sizes))  # sizes is one row
+    idf = F.log(F.lit(1.0) + (F.col("_corpus.rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
+    tf = F.col("n") * (k1 + 1) / (F.col("n") + k1 * (1 - b + b * F.col("words") / F.col("_corpus.mean")))
+    hit = post.join(asked, "lexeme").join(seen, "lexeme").withColumn("_corpus", sizes.select(F.struct("rows", "mean")).scalar())
     return top(hit.groupBy("query_id", "id").agg(F.round(F.sum(F.round(idf * tf, 9)), 6).alias("score")), k, F.desc("score"))
 
 
