@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
+import re._parser as sre
 from collections.abc import Callable
-from functools import reduce
+from functools import lru_cache, reduce
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -20,12 +21,46 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
 
 
 def portable(pattern: str) -> str:
-    """\\b as ASCII boundary, $ as the very end."""
-    return pattern.replace(r"\b", BOUNDARY).replace("|$)", r"|\z)")
-
-
-def matches(c: Column, pattern: str, fold: bool = True) -> Column:
-    return c.rlike(("(?i)" if fold else "") + portable(pattern))
+    """\\b as ASCII boundary, $ as the very end. At a pattern's start a word character follows, so looking
+    back is enough."""
+    flag, body = ("(?i)", pattern[4:]) if pattern.startswith("(?i)") else ("", pattern)
+    lead = "(?<![A-Za-z0-9_])" if body.startswith(r"\b") else ""
+    return flag + lead + body.removeprefix(r"\b").replace(r"\b", BOUNDARY).replace("|$)", r"|\z)")
+
+
+def _needed(parsed) -> list[list[str]]:
+    """Lists of lower-case texts: every match of the parsed pattern holds one text of each list."""
+    all_: list[list[str]] = []
+    run = ""
+    for op, arg in [*parsed, (None, None)]:
+        if op == sre.LITERAL:
+            run += chr(arg).lower()
+            continue
+        if len(run) > 1:
+            all_.append([run])
+        run = ""
+        if op == sre.SUBPATTERN:
+            all_ += _needed(arg[-1])
+        elif op == sre.BRANCH:
+            each = [max(_needed(x), key=lambda o: min(map(len, o)), default=None) for x in arg[1]]
+            all_ += [] if None in each else [sorted({t for x in each for t in x})]
+        elif op in (sre.MAX_REPEAT, sre.MIN_REPEAT) and arg[0] > 0:
+            all_ += _needed(arg[2])
+    return all_
+
+
+@lru_cache(maxsize=None)
+def needed(pattern: str) -> list[list[str]]:
+    """The lists of the pattern, the one with fewest texts first."""
+    return sorted(_needed(sre.parse(pattern)), key=len)
+
+
+def matches(c: Column, pattern: str) -> Column:
+    """Whether the pattern occurs, case folded. Plain searches for the words that it needs come first: they
+    are far cheaper than the pattern, and most texts lack them."""
+    low = F.lower(c)
+    has = [reduce(lambda a, b: a | b, (F.contains(low, F.lit(w)) for w in some)) for some in needed(pattern)]
+    return reduce(lambda a, b: a & b, [*has, c.rlike("(?i)" + portable(pattern))])
 
 
 def hits(c: Column, patterns: list[str]) -> Column:
@@ -99,11 +134,7 @@ def answer_tokens(c: Column) -> Column:
 
 def memory_type(c: Column) -> Column:
     """struct(memory_type, confidence) by counts of matching patterns."""
-    counts = F.struct(hits(c, fixed.SEMANTIC).alias("s"), hits(c, fixed.EPISODIC).alias("e"), hits(c, fixed.PROCEDURAL).alias("p"))
-    return let(counts, lambda n: _typed(n["s"], n["e"], n["p"]))
-
-
-def _typed(s: Column, e: Column, p: Column) -> Column:
+    s, e, p = hits(c, fixed.SEMANTIC), hits(c, fixed.EPISODIC), hits(c, fixed.PROCEDURAL)
     best = F.greatest(s, e, p)
     second = s + e + p - best - F.least(s, e, p)
     kind = F.when(best == second, F.lit("semantic")).when(s == best, F.lit("semantic")).when(e == best, F.lit("episodic")).otherwise(F.lit("procedural"))

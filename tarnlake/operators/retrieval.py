@@ -90,13 +90,16 @@ def keyword_search(queries: DataFrame, rows: DataFrame, k: int, column: str = "c
     leave the rows. The score is the mean over the query's lexemes of 1 + ln(count), over 1 + ln(words).
     """
     asked = queries.select("query_id", text.lexemes(F.col("query")).alias("_q")).select("query_id", F.size("_q").alias("_n"), F.explode("_q").alias("lexeme"))
-    return top(_matched(asked, postings(rows, column)).where(F.col("_hit") == F.col("_n")).select("query_id", "id", "score"), k, F.desc("score"))
+    return top(_matched(asked, postings(rows, column, asked)).where(F.col("_hit") == F.col("_n")).select("query_id", "id", "score"), k, F.desc("score"))
 
 
-def postings(rows: DataFrame, column: str = "content") -> DataFrame:
-    """id, words (how many lexemes with repeats), lexeme, n."""
+def postings(rows: DataFrame, column: str = "content", asked: DataFrame | None = None) -> DataFrame:
+    """id, words (how many lexemes with repeats), lexeme, n; of the lexemes in asked alone, if given, before
+    anything is counted or moved."""
     all_ = text.tokens(F.col(column), 2, fixed.ENTITY_STOPWORDS)
     each = rows.select("id", all_.alias("_all")).select("id", F.size("_all").alias("words"), F.explode("_all").alias("lexeme"))
+    if asked is not None:
+        each = each.join(asked.select("lexeme").distinct(), "lexeme", "left_semi")
     return each.groupBy("id", "words", "lexeme").agg(F.count("*").alias("n"))
 
 
@@ -107,10 +110,11 @@ def _matched(asked: DataFrame, post: DataFrame) -> DataFrame:
 
 def bm25(queries: DataFrame, rows: DataFrame, k: int, column: str = "content", k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """Rows that hold any lexeme of a query by BM25 with corpus statistics over all rows: query_id, id, score, rank."""
-    post = postings(rows, column)
     asked = queries.select("query_id", F.explode(text.lexemes(F.col("query"))).alias("lexeme"))
-    sizes = post.groupBy("id", "words").agg(F.lit(1)).agg(F.count("*").alias("rows"), F.avg("words").alias("mean"))
-    seen = post.join(asked.select("lexeme").distinct(), "lexeme", "left_semi").groupBy("lexeme").agg(F.count("*").alias("df"))
+    post = postings(rows, column, asked)
+    words = F.size(text.tokens(F.col(column), 2, fixed.ENTITY_STOPWORDS))
+    sizes = rows.select(words.alias("words")).where("words > 0").agg(F.count("*").alias("rows"), F.avg("words").alias("mean"))
+    seen = post.groupBy("lexeme").agg(F.count("*").alias("df"))
     idf = F.log(F.lit(1.0) + (F.col("_corpus.rows") - F.col("df") + 0.5) / (F.col("df") + 0.5))
     tf = F.col("n") * (k1 + 1) / (F.col("n") + k1 * (1 - b + b * F.col("words") / F.col("_corpus.mean")))
     hit = post.join(asked, "lexeme").join(seen, "lexeme").withColumn("_corpus", sizes.select(F.struct("rows", "mean")).scalar())
