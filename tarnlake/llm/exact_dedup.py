@@ -105,6 +105,8 @@ def exact_dedup(docs: DataFrame, keep: str = "smallest", fan: int = FAN) -> Data
     while width > 1:
         depth, width = depth + 1, -(-width // fan)
         level = shared.staged(_round(level.withColumn("run", F.floor(F.col("run") / fan).cast("int")), largest), folder, f"level{depth}")
+        if depth > 1:
+            shared.unstage(spark, folder, f"level{depth - 1}")
     whole = level.select("digest", "check", F.col("bytes"), F.col("keep").alias("keep_id"), F.col("n").alias("group_size"))
     down = own.select("run", "digest", "check", "bytes").join(whole, ["digest", "check", "bytes"])
     out = rows.join(down, ["run", "digest", "check", "bytes"])
