@@ -32,13 +32,13 @@ def _table(spark: SparkSession, d: str, name: str) -> DataFrame:
 @query("stream_sliding", ORACLES["sliding_consolidation"])
 def stream_sliding(spark: SparkSession, d: str) -> DataFrame:
     stream = _table(spark, d, "events")
-    return _drained(spark, ingest.sliding(ingest.with_watermark(stream.withColumn("ts", F.col("ts").cast("timestamp")))), "complete")
+    return _drained(spark, ingest.sliding(ingest.with_watermark(stream.withColumn("ts", ingest.instant(F.col("ts"))))), "complete")
 
 
 @query("stream_first_sight", "SELECT user_id AS id, count(*) AS n FROM (SELECT DISTINCT user_id FROM events) GROUP BY 1")
 def stream_first_sight(spark: SparkSession, d: str) -> DataFrame:
     stream = _table(spark, d, "events")
-    seen = ingest.expiring(stream.select(F.col("user_id").alias("id"), F.col("ts").cast("timestamp").alias("ts")), "60 days")
+    seen = ingest.expiring(stream.select(F.col("user_id").alias("id"), ingest.instant(F.col("ts")).alias("ts")), "60 days")
     return _drained(spark, seen, "append").groupBy("id").agg(F.count("*").alias("n"))
 
 

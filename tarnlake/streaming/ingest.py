@@ -8,15 +8,17 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructType, TimestampNTZType
 
 from ..functions import text
 from ..operators import extraction
 
 LATE = "1 hour"
+#: The first instant of 2024, in microseconds.
+_YEAR = 1_704_067_200_000_000
 
 
 def read(spark: SparkSession, path: str, schema: StructType | str, files: int = 8) -> DataFrame:
@@ -35,6 +37,11 @@ def append(stream: DataFrame, path: str, checkpoint: str):
     return stream.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
 
 
+def instant(c: Column) -> Column:
+    """A time without zone as the instant it is in UTC, whatever the session's zone: what watermarks need."""
+    return F.timestamp_micros(F.timestamp_diff("MICROSECOND", F.lit("1970-01-01 00:00:00").cast("timestamp_ntz"), c))
+
+
 def sliding(events: DataFrame, width: str = "24 hours", step: str = "12 hours") -> DataFrame:
     """Count and sum by type over overlapping windows, as start_hour since 2024 began; batch or stream.
 
@@ -42,7 +49,10 @@ def sliding(events: DataFrame, width: str = "24 hours", step: str = "12 hours")
     """
     w = F.window("ts", width, step)
     out = events.groupBy(w.alias("w"), "event_type").agg(F.count("*").alias("n"), F.round(F.sum("value"), 4).alias("total"))
-    start = F.timestamp_diff("HOUR", F.lit("2024-01-01 00:00:00").cast("timestamp_ntz"), F.col("w.start").cast("timestamp_ntz"))
+    start = F.col("w.start")
+    if isinstance(events.schema["ts"].dataType, TimestampNTZType):
+        start = instant(start)
+    start = F.floor((F.unix_micros(start) - _YEAR) / 3_600_000_000).cast("long")
     return out.select(start.alias("start_hour"), "event_type", "n", "total")
 
 
