@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -115,12 +115,19 @@ def forget(ids: DataFrame, memories: DataFrame, facts: DataFrame, conflicts: Dat
 
 
 def check(df: DataFrame, ranges: dict[str, tuple[float, float]], domains: dict[str, list[str]], unique: list[str] | None = None) -> DataFrame:
-    """df with `errors`: the names of columns out of range, out of their domain, or of a key that repeats."""
+    """df with `errors`: the names of columns out of range, out of their domain, or of a key that repeats.
+
+    Keys that repeat are found by an aggregate and joined back, so a key with very many rows is no large group.
+    """
     bad = [F.when(~F.col(c).between(lo, hi), F.lit(c)) for c, (lo, hi) in ranges.items()]
     bad += [F.when(~F.col(c).isin(values), F.lit(c)) for c, values in domains.items()]
     if unique:
-        bad.append(F.when(F.count("*").over(Window.partitionBy(*unique)) > 1, F.lit("+".join(unique))))
-    return df.withColumn("errors", F.filter(F.array(*bad), lambda e: e.isNotNull()))
+        again = df.groupBy(*(F.col(c).alias(f"_{c}") for c in unique)).agg(F.count("*").alias("_rows")).where("_rows > 1")
+        same = reduce(lambda a, b: a & b, (F.col(c).eqNullSafe(F.col(f"_{c}")) for c in unique))
+        bad.append(F.when(F.col("_rows").isNotNull(), F.lit("+".join(unique))))
+        df = df.join(again, same, "left")
+    out = df.withColumn("errors", F.filter(F.array(*bad), lambda e: e.isNotNull()))
+    return out.drop("_rows", *(f"_{c}" for c in unique)) if unique else out
 
 
 def merged_metadata(*parts: Column) -> Column:
