@@ -1,7 +1,7 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A feature is the presence of a byte n-gram of the lower-cased text, hashed. Its value is the log of
-the ratio in which toxic and clean training texts hold it; a logistic regression on those values gives
+A feature is a byte n-gram of the lower-cased text, hashed, that occurs at least once, twice or three
+times. Its value is the log of the ratio in which toxic and clean training texts have it; a logistic regression on those values gives
 the weights. Training reads a sample of labelled rows whose size is a parameter; scoring reads whole
 texts where they lie, without a shuffle.
 """
@@ -19,6 +19,9 @@ from . import shared
 
 #: Lengths of the n-grams in bytes, bits of the feature hash, and features kept.
 GRAMS, BITS, FEATURES = (3, 4, 5, 6), 20, 10_000
+#: An n-gram gives a feature for each number of occurrences up to this that its text reaches.
+TIMES = 3
+_SPACE = TIMES << BITS
 #: Blocks in which the features' counts move.
 _BLOCKS = 64
 #: Bytes of text at a time: each gives a feature for every length of n-gram.
@@ -37,6 +40,7 @@ def features(offsets: np.ndarray, data: np.ndarray, wanted: np.ndarray | None =
     length = np.diff(offsets)
     text = np.repeat(np.arange(len(length), dtype=np.int64), length)
     left = offsets[1:][text] - np.arange(len(data)) if len(data) else text
+    some = None if wanted is None else wanted.reshape(TIMES, -1).any(axis=0)
     found = []
     for n in GRAMS:
         if len(data) < n:
@@ -44,12 +48,22 @@ def features(offsets: np.ndarray, data: np.ndarray, wanted: np.ndarray | None =
         h = ((s[n:] - s[:-n]) * inverse[: len(s) - n]) * np.uint64(0xD6E8FEB86659FD93 + 2 * n) >> np.uint64(64 - BITS)
         h = h.view(np.int64)
         good = left[: len(h)] >= n
-        if wanted is not None:
-            good &= wanted[h]
+        if some is not None:
+            good &= some[h]
         at = np.flatnonzero(good)
         found.append(text[at] << BITS | h[at])
-    pairs = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
-    return pairs >> BITS, pairs & ((1 << BITS) - 1)
+    pairs, count = np.unique(np.concatenate(found), return_counts=True) if found else (np.zeros(0, np.int64),) * 2
+    text, gram = pairs >> BITS, pairs & ((1 << BITS) - 1)
+    out_text, out = [], []
+    for k in range(TIMES):
+        own = count > k
+        if wanted is not None:
+            own &= wanted[(k << BITS) + gram]
+        out_text.append(text[own])
+        out.append((k << BITS) + gram[own])
+    text, out = np.concatenate(out_text), np.concatenate(out)
+    order = np.argsort(text, kind="stable")
+    return text[order], out[order]
 
 
 class Model:
@@ -67,7 +81,7 @@ class Model:
 
     def score(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
         if self._table is None:
-            self._table = np.zeros(1 << BITS, np.float32)
+            self._table = np.zeros(_SPACE, np.float32)
             self._table[self.index] = self.weight
             self._wanted = self._table != 0
         text, feature = features(offsets, data, self._wanted)
@@ -129,18 +143,18 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
         return constant(n_toxic, n_clean)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, 1 << BITS), np.int32)
+        seen = np.zeros((2, _SPACE), np.int32)
         for b in shared.pieces(batches, most=_CHUNK):
             text, feature = features(*shared.bytes_of(b.column("text")))
             toxic = b.column("toxic").to_numpy()[text]
             for k in (0, 1):
-                seen[k] += np.bincount(feature[toxic == k], minlength=1 << BITS).astype(np.int32)
+                seen[k] += np.bincount(feature[toxic == k], minlength=_SPACE).astype(np.int32)
         if seen.any():
             some = seen.reshape(2, _BLOCKS, -1)
             yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array([some[:, k].tobytes() for k in range(_BLOCKS)], pa.binary())], ["block", "counts"])
 
     def rank(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        width = (1 << BITS) // _BLOCKS
+        width = _SPACE // _BLOCKS
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for block, counts in zip(b.column("block").to_pylist(), b.column("counts").to_pylist(), strict=True):
@@ -157,7 +171,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     index, ratio = np.array([x for x, _ in best]), np.array([x for _, x in best])
 
     def own(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.zeros(1 << BITS, bool)
+        wanted = np.zeros(_SPACE, bool)
         wanted[index] = True
         for b in shared.pieces(batches, most=_CHUNK):
             text, feature = features(*shared.bytes_of(b.column("text")), wanted)
