@@ -45,7 +45,7 @@ def _digests(batches: Iterator[pa.RecordBatch], bands: int) -> Iterator[pa.Recor
         )
 
 
-def _combine(cols: dict[str, np.ndarray], largest: bool) -> tuple[dict[str, np.ndarray], np.ndarray]:
+def _combine(cols: dict[str, np.ndarray], largest: bool) -> dict[str, np.ndarray]:
     """Neighbours with one key become one entry."""
     words = cols["digest"]
     new = np.ones(len(words), bool)

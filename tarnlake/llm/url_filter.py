@@ -40,7 +40,7 @@ def bloom(keys: DataFrame, entries: int) -> tuple[DataFrame, int]:
     """One row with the filter's words (array<long>) of keys.key, and its number of blocks."""
     blocks = min(MOST_WORDS // BLOCK, max(1, 1 << math.ceil(math.log2(max(1, entries * BITS_PER_KEY / (64 * BLOCK))))))
     block, bits = _place(F.col("key"), blocks)
-    each = F.explode(F.array(*(F.struct((block * BLOCK + i).alias("word"), F.shiftleft(F.lit(1).cast("long"), 1).alias("_"), b.alias("bit")) for i, b in bits)))
+    each = F.explode(F.array(*(F.struct((block * BLOCK + i).alias("word"), b.alias("bit")) for i, b in bits)))
     mask = F.expr("shiftleft(1L, x.bit)")
     words = keys.select(each.alias("x")).groupBy(F.col("x.word").alias("word")).agg(F.bit_or(mask).alias("mask"))
     held = F.map_from_entries(F.collect_list(F.struct("word", "mask")))
@@ -74,9 +74,8 @@ def judge(pages: DataFrame, listed: DataFrame, default: str = "allow") -> DataFr
     size = listed.agg(F.count("*").alias("n"), F.collect_set(F.length("r_path")).alias("lengths")).first()
     filter_row, blocks = bloom(listed.select("key"), size.n)
     # rows alike are judged once; n brings them back
-    urls = pages.select("page_id", "url").groupBy("page_id", "url").agg(F.count("*").alias("n"))
-    urls = urls.select("page_id", "n", F.monotonically_increasing_id().alias("_"), host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
-    urls = urls.drop("_").groupBy("page_id", "host", "path").agg(F.sum("n").alias("n"))
+    urls = pages.select("page_id", host_of(F.col("url")).alias("host"), path_of(F.col("url")).alias("path"))
+    urls = urls.groupBy("page_id", "host", "path").agg(F.count("*").alias("n"))
     labels = F.split("host", r"\.")
     hosts = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     lengths = sorted(size.lengths)
