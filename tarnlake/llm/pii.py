@@ -74,7 +74,8 @@ _VOTE = {
     ),
 }
 _SPAN = "array<struct<kind:int,start:long,end:long,m:string,before:string,strict:boolean>>"
-_FOUND = "array<struct<kind:int,start:long,end:long,strict:boolean,votes:string>>"
+#: Matches folded in one part.
+_PART = 128
 
 
 def _quoted(pattern: str) -> str:
@@ -89,8 +90,12 @@ def _spans(kind: str, pattern: str, hint: str, strict: bool) -> str:
         "(a, y) -> named_struct('at', a.at + length(y.gap) + coalesce(length(y.m), 0), 'out', CASE WHEN y.m IS NULL THEN a.out ELSE "
         f"concat(a.out, array(named_struct('kind', {KINDS.index(kind)}, 'start', a.at + length(y.gap), 'end', a.at + length(y.gap) + length(y.m), 'm', y.m, 'before', right(y.gap, 40), 'strict', {str(strict).lower()}))) END)"
     )
-    whole = f"aggregate(arrays_zip(split(text, {p}, -1) AS gap, regexp_extract_all(text, {p}, 0) AS m), named_struct('at', 0L, 'out', cast(array() AS {_SPAN})), {step}, a -> a.out)"
-    whole = whole.replace("arrays_zip(split", "transform(arrays_zip(split").replace(" AS gap,", ",").replace(" AS m),", "), y -> named_struct('gap', y['0'], 'm', y['1'])),", 1)
+    zipped = f"transform(arrays_zip(split(text, {p}, -1), regexp_extract_all(text, {p}, 0)), y -> named_struct('gap', y['0'], 'm', y['1']))"
+    empty = f"named_struct('at', 0L, 'out', cast(array() AS {_SPAN}))"
+    # a fold copies what it has at every step, so texts with very many matches are folded in parts, and the parts then
+    parts = f"transform(sequence(0, size(z) div {_PART}), i -> aggregate(slice(z, i * {_PART} + 1, {_PART}), {empty}, {step}))"
+    moved = "transform(r.out, x -> named_struct('kind', x.kind, 'start', x.start + a.at, 'end', x.end + a.at, 'm', x.m, 'before', x.before, 'strict', x.strict))"
+    whole = f"transform(array({zipped}), z -> aggregate({parts}, {empty}, (a, r) -> named_struct('at', a.at + r.at, 'out', concat(a.out, {moved})), a -> a.out))[0]"
     held = f"filter({whole}, x -> exists(array(x.m), m -> {HOLDS[kind]}))" if strict else whole
     return f"CASE WHEN {hint} AND text rlike {p} THEN {held} ELSE cast(array() AS {_SPAN}) END"
 
