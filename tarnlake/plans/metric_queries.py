@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..functions import fixed
+
 
 from ..operators import arbitration, metrics, packing
 from ..sources import views
@@ -71,7 +73,23 @@ def pack_memories(spark: SparkSession, d: str) -> DataFrame:
     return packing.pack_memories(l, 150)
 
 
-@query("jaccard_dedup")
+#: Rows leave a list in order of rank: what a row that still stands takes out (kills) is out for those after it.
+_LEAVING = """turns(query_id, k, gone) AS (
+        SELECT DISTINCT query_id, 0::BIGINT, []::BIGINT[] FROM l
+        UNION ALL
+        SELECT t.query_id, t.k + 1, CASE WHEN list_contains(t.gone, l.id) OR x.ids IS NULL THEN t.gone ELSE list_concat(t.gone, x.ids) END
+        FROM turns t JOIN l ON l.query_id = t.query_id AND l.rank = t.k + 1 LEFT JOIN kills x ON x.query_id = l.query_id AND x.rank = l.rank),
+    last AS (SELECT query_id, arg_max(gone, k) AS gone FROM turns GROUP BY query_id)
+    SELECT query_id, id, rank FROM l JOIN last USING (query_id) WHERE NOT list_contains(gone, id)"""
+
+
+@query(
+    "jaccard_dedup",
+    f"""WITH RECURSIVE l AS (SELECT * FROM (SELECT n_chars % 97 AS query_id, doc_id AS id, list_distinct({sql.split('lower(text)')}) AS w, row_number() OVER (PARTITION BY n_chars % 97 ORDER BY doc_id) AS rank FROM documents) WHERE rank <= 50),
+    p AS (SELECT a.query_id, a.rank, b.id, len(list_intersect(a.w, b.w)) AS common, len(a.w) AS x, len(b.w) AS y FROM l a JOIN l b ON a.query_id = b.query_id AND a.rank < b.rank),
+    kills AS (SELECT query_id, rank, list(id) AS ids FROM p WHERE x + y > 0 AND common >= 0.7::DOUBLE * (x + y - common) GROUP BY query_id, rank),
+    {_LEAVING}""",
+)
 def jaccard_dedup(spark: SparkSession, d: str) -> DataFrame:
     """Lists of documents by source and length, in which copies and near copies meet."""
     t = views.table(spark, d, "documents")
@@ -81,10 +99,19 @@ def jaccard_dedup(spark: SparkSession, d: str) -> DataFrame:
     return arbitration.drop_similar(top(l, 50, F.desc("score")), "content").select("query_id", "id", "rank")
 
 
-@query("supersession_filter")
+@query(
+    "supersession_filter",
+    f"""WITH RECURSIVE f AS (SELECT conv_id AS query_id, conv_id * 100 + turn AS id, turn + 1 AS rank, CASE WHEN turn % 3 = 2 THEN 'No longer so. ' ELSE '' END || CASE WHEN turn % 2 = 0 THEN 'Deploys alpha services through gamma tools. ' ELSE '' END || left(text, 30) AS said FROM conversations),
+    l AS (SELECT query_id, id, rank, {sql.keywords('said')} AS w, {sql.any_match('said', fixed.SUPERSESSION)} AS changes FROM f),
+    kills AS (SELECT a.query_id, a.rank, list(b.id) AS ids FROM l a JOIN l b ON a.query_id = b.query_id AND b.rank < a.rank
+        WHERE a.changes AND len(a.w) > 0 AND len(b.w) > 0 AND len(list_intersect(a.w, b.w)) >= 0.4::DOUBLE * least(len(a.w), len(b.w)) GROUP BY a.query_id, a.rank),
+    {_LEAVING}""",
+)
 def supersession_filter(spark: SparkSession, d: str) -> DataFrame:
     c = views.facts(spark, d).select(F.col("memory_id").alias("query_id"), "id", F.col("fact").alias("content"), "created_at", "turn")
-    said = F.when(F.col("turn") % 3 == 2, F.concat(F.lit("No longer so. "), F.col("content"))).otherwise(F.col("content"))
+    change = F.when(F.col("turn") % 3 == 2, F.lit("No longer so. ")).otherwise(F.lit(""))
+    subject = F.when(F.col("turn") % 2 == 0, F.lit("Deploys alpha services through gamma tools. ")).otherwise(F.lit(""))
+    said = F.concat(change, subject, F.left("content", F.lit(30)))
     c = c.withColumns({"content": said, "rank": (F.col("turn") + 1).cast("int")}).drop("turn")
     return arbitration.drop_superseded(c).select("query_id", "id", "rank")
 

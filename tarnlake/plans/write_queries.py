@@ -215,7 +215,19 @@ def reflect_themes(spark: SparkSession, d: str) -> DataFrame:
     return g.select("theme", "n", lifecycle.insight(F.col("theme"), F.col("n"), F.col("kinds"), F.col("contents")).alias("insight"))
 
 
-@query("reflect_greedy_groups")
+@query(
+    "reflect_greedy_groups",
+    f"""WITH RECURSIVE w AS (SELECT conv_id AS user_id, conv_id * 100 + turn AS id, turn, unnest(regexp_extract_all(text, {sql.text(fixed.QUERY_ENTITY)}, 1)) AS name, generate_subscripts(regexp_extract_all(text, {sql.text(fixed.QUERY_ENTITY)}, 1), 1) AS pos FROM conversations),
+    e AS (SELECT user_id, id, turn, lower(name) AS theme, min(pos) AS pos FROM w WHERE NOT list_contains({sql.words(fixed.QUERY_STOPWORDS)}, name) GROUP BY user_id, id, turn, lower(name)),
+    t AS (SELECT user_id, theme, list(id ORDER BY turn) AS ids, min(struct_pack(turn := turn, pos := pos)) AS seen FROM e GROUP BY user_id, theme),
+    o AS (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY seen) AS k FROM t),
+    steps(user_id, k, taken, own) AS (
+        SELECT DISTINCT user_id, 0::BIGINT, []::BIGINT[], []::BIGINT[] FROM o
+        UNION ALL
+        SELECT user_id, k, CASE WHEN len(free) > 1 THEN list_concat(taken, free) ELSE taken END, CASE WHEN len(free) > 1 THEN free ELSE [] END
+        FROM (SELECT s.user_id, o.k, s.taken, list_filter(o.ids, lambda i: NOT list_contains(s.taken, i)) AS free FROM steps s JOIN o ON o.user_id = s.user_id AND o.k = s.k + 1))
+    SELECT s.user_id, theme, (row_number() OVER (PARTITION BY s.user_id ORDER BY s.k) - 1)::INT AS position, own AS ids FROM steps s JOIN o ON o.user_id = s.user_id AND o.k = s.k WHERE len(own) > 1""",
+)
 def reflect_greedy_groups(spark: SparkSession, d: str) -> DataFrame:
     """Greedy groups by shared query entities among each conversation's turns."""
     from ..functions import text
