@@ -13,6 +13,7 @@ import hashlib
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -21,6 +22,8 @@ from . import shared
 
 #: Bytes of a window; neighbours that compete; wins that make a feature; entropy levels.
 WINDOW, NEIGHBOURS, WINS, LEVELS = 64, 64, 16, 1000
+#: Ranges of doc_id into which texts are dealt for their neighbours, at most.
+MOST_RANGES = 1 << 16
 #: Bits of a filter, features in one, bits set for each.
 BITS, FULL, HASHES = 2048, 160, 5
 
@@ -259,9 +262,16 @@ def compare_with_next(docs: DataFrame, rank: np.ndarray | None = None) -> DataFr
     key = F.coalesce(F.col("doc_id"), F.lit(-(2**63)))
     text = shared.text_of(docs).withColumn("key", key)
     ids = text.select("key")
-    n = 4 * shared.parts(spark)
+    n = min(4 * shared.parts(spark), MOST_RANGES)
     cuts = sorted({int(x) for x in ids.approxQuantile("key", [i / n for i in range(1, n)], 0.2 / n)})
-    part = F.size(F.filter(F.array(*(F.lit(c).cast("long") for c in cuts)), lambda c: c < F.col("key"))) if cuts else F.lit(0)
+    bounds = np.array(cuts, np.int64)
+
+    @F.pandas_udf("int")
+    def part_of(keys: pd.Series) -> pd.Series:
+        return pd.Series(np.searchsorted(bounds, keys.to_numpy()), dtype="int32")
+
+    # only ids go to Python for this, texts stay in the JVM
+    part = part_of("key")
     firsts = sorted((r.part, r.key) for r in ids.withColumn("part", part).groupBy("part").agg(F.min("key").alias("key")).collect())
     # a range's first rows are guests at the end of the range before it
     before = spark.createDataFrame([(p, k, firsts[i - 1][0]) for i, (p, k) in enumerate(firsts)], "part int, key long, host int")
