@@ -23,7 +23,7 @@ from . import shared
 #: Pieces in one packing task: the share is bounded, whatever the table.
 SHARE = 1 << 16
 #: Words that a worker remembers, about 150 bytes each.
-MEMORY = 400_000
+MEMORY = 300_000
 
 
 class Packer:

@@ -18,14 +18,14 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: Lengths of the n-grams in bytes, bits of the feature hash, and features kept.
-GRAMS, BITS, FEATURES = (3, 4, 5, 6), 20, 10_000
+GRAMS, BITS, FEATURES = (3, 4, 5, 6), 19, 10_000
 #: An n-gram gives a feature for each number of occurrences up to this that its text reaches.
 TIMES = 3
 _SPACE = TIMES << BITS
 #: Blocks in which the features' counts move.
 _BLOCKS = 64
 #: Bytes of text at a time: each gives a feature for every length of n-gram.
-_CHUNK = 1 << 19
+_CHUNK = 1 << 18
 #: The bound of the training sample: rows of each class.
 ROWS_PER_CLASS = 4_000
 
@@ -129,6 +129,8 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     sample is the same on every run. A doc_id with several labels counts as toxic if one says so. Features
     are counted where the sample's texts lie; the driver gets the FEATURES best of them, and those of each row.
     """
+    if rows_per_class >= 1 << 16:
+        raise ValueError("rows_per_class must be below 65536")
     spark = docs.sparkSession
     known = labels.where("doc_id IS NOT NULL AND toxic IS NOT NULL").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.max("toxic").alias("toxic"))
     known = known.where(~held_out()).join(docs.select(F.col("doc_id").cast("long").alias("doc_id")), "doc_id", "left_semi")
@@ -143,12 +145,12 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
         return constant(n_toxic, n_clean)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = np.zeros((2, _SPACE), np.int32)
+        seen = np.zeros((2, _SPACE), np.uint16)  # a sample of a class has fewer rows than that holds
         for b in shared.pieces(batches, most=_CHUNK):
             text, feature = features(*shared.bytes_of(b.column("text")))
             toxic = b.column("toxic").to_numpy()[text]
             for k in (0, 1):
-                seen[k] += np.bincount(feature[toxic == k], minlength=_SPACE).astype(np.int32)
+                seen[k] += np.bincount(feature[toxic == k], minlength=_SPACE).astype(np.uint16)
         if seen.any():
             some = seen.reshape(2, _BLOCKS, -1)
             yield pa.RecordBatch.from_arrays([pa.array(range(_BLOCKS), pa.int32()), pa.array([some[:, k].tobytes() for k in range(_BLOCKS)], pa.binary())], ["block", "counts"])
@@ -158,7 +160,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
         total: dict[int, np.ndarray] = {}
         for b in batches:
             for block, counts in zip(b.column("block").to_pylist(), b.column("counts").to_pylist(), strict=True):
-                total[block] = total.get(block, 0) + np.frombuffer(counts, np.int32).reshape(2, -1)
+                total[block] = total.get(block, 0) + np.frombuffer(counts, np.uint16).reshape(2, -1).astype(np.int64)
         for block, (clean, toxic) in total.items():
             ratio, sure = log_ratio(toxic, clean, n_toxic, n_clean)
             at = np.flatnonzero((sure >= 2) & (toxic + clean > 1))
