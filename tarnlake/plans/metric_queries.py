@@ -99,6 +99,18 @@ def jaccard_dedup(spark: SparkSession, d: str) -> DataFrame:
     return arbitration.drop_similar(top(l, 50, F.desc("score")), "content").select("query_id", "id", "rank")
 
 
+@query(
+    "jaccard_dedup_whole",
+    f"""SELECT id FROM (WITH RECURSIVE l AS MATERIALIZED (SELECT 0 AS query_id, doc_id AS id, list_distinct({sql.split('lower(text)')}) AS w, row_number() OVER (ORDER BY doc_id) AS rank FROM documents),
+    p AS (SELECT a.query_id, a.rank, b.id, len(list_intersect(a.w, b.w)) AS common, len(a.w) AS x, len(b.w) AS y FROM l a JOIN l b ON a.rank < b.rank),
+    kills AS MATERIALIZED (SELECT query_id, rank, list(id) AS ids FROM p WHERE x + y > 0 AND common >= 0.7::DOUBLE * (x + y - common) GROUP BY query_id, rank),
+    {_LEAVING})""",
+)
+def jaccard_dedup_whole(spark: SparkSession, d: str) -> DataFrame:
+    """All documents beside each other: no lists, no limit on ranks."""
+    return arbitration.drop_similar_anywhere(views.table(spark, d, "documents").select(F.col("doc_id").alias("id"), "text"), "text")
+
+
 @query(
     "supersession_filter",
     f"""WITH RECURSIVE f AS (SELECT conv_id AS query_id, conv_id * 100 + turn AS id, turn + 1 AS rank, CASE WHEN turn % 3 = 2 THEN 'No longer so. ' ELSE '' END || CASE WHEN turn % 2 = 0 THEN 'Deploys alpha services through gamma tools. ' ELSE '' END || left(text, 30) AS said FROM conversations),
