@@ -9,7 +9,7 @@ from ..functions import fixed, text
 from ..operators import arbitration, extraction, graph
 from ..sources import views
 from . import sql
-from .registry import query
+from .registry import ORACLES, query
 
 _S, _E, _P = (sql.hits("text", p) for p in (fixed.SEMANTIC, fixed.EPISODIC, fixed.PROCEDURAL))
 
@@ -55,6 +55,8 @@ good AS (SELECT *, lower(name) AS low, CASE type {_RANKS} END AS r FROM clean
     WHERE src >= 10000 OR length(name) >= 2 AND len(list_filter(string_split_regex(lower(name), '\\s+'), lambda w: NOT list_contains({_STOP}, w))) > 0),
 merged AS (SELECT id, low, arg_min(struct_pack(name := name, type := type, confidence := confidence), struct_pack(r := -r, src := src, pos := pos)) AS e, min(struct_pack(src := src, pos := pos)) AS place FROM good GROUP BY id, low),
 entities AS (SELECT id, e.name AS name, e.type AS type, e.confidence AS confidence, row_number() OVER (PARTITION BY id ORDER BY place) AS position FROM merged)"""
+#: The same over the documents' own texts.
+_WHOLE = "said AS (SELECT doc_id AS id, text AS said FROM documents),\n" + _ENTITIES.split("\n", 1)[1]
 
 
 def said(spark: SparkSession, d: str) -> DataFrame:
@@ -62,12 +64,26 @@ def said(spark: SparkSession, d: str) -> DataFrame:
     return w.select(F.col("doc_id").alias("id"), F.expr(_SAID).alias("said"))
 
 
+def texts(spark: SparkSession, d: str) -> DataFrame:
+    return views.table(spark, d, "documents").select(F.col("doc_id").alias("id"), F.col("text").alias("said"))
+
+
 @query("extract_entities", f"WITH {_ENTITIES} SELECT id, name, type, confidence, position FROM entities")
 def extract_entities(spark: SparkSession, d: str) -> DataFrame:
-    e = said(spark, d).select("id", F.posexplode(extraction.entities(F.col("said"))).alias("position", "e"))
+    return _extracted(said(spark, d))
+
+
+def _extracted(rows: DataFrame) -> DataFrame:
+    e = rows.select("id", F.posexplode(extraction.entities(F.col("said"))).alias("position", "e"))
     return e.select("id", "e.name", "e.type", "e.confidence", (F.col("position") + 1).alias("position"))
 
 
+@query("extract_entities_whole", f"WITH {_WHOLE} SELECT id, name, type, confidence, position FROM entities")
+def extract_entities_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The entities of whole documents."""
+    return _extracted(texts(spark, d))
+
+
 @query(
     "extract_query_entities",
     f"""WITH w AS (SELECT conv_id, turn, unnest(regexp_extract_all(text, {sql.text(fixed.QUERY_ENTITY)}, 1)) AS name, generate_subscripts(regexp_extract_all(text, {sql.text(fixed.QUERY_ENTITY)}, 1), 1) AS pos FROM conversations)
@@ -89,6 +105,12 @@ def infer_relations(spark: SparkSession, d: str) -> DataFrame:
     return extraction.relations(said(spark, d).select("id", extraction.entities(F.col("said")).alias("entities")))
 
 
+@query("infer_relations_whole", ORACLES["infer_relations"].replace(_ENTITIES, _WHOLE))
+def infer_relations_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The relations within whole documents."""
+    return extraction.relations(texts(spark, d).select("id", extraction.entities(F.col("said")).alias("entities")))
+
+
 @query(
     "merge_entities_and_edges",
     f"""WITH {_ENTITIES}, known AS (SELECT name, type FROM entities WHERE confidence >= 0.6 GROUP BY name, type),
@@ -98,7 +120,17 @@ def infer_relations(spark: SparkSession, d: str) -> DataFrame:
     SELECT p.* FROM pairs p WHERE (from_name, from_type) IN (SELECT (name, type) FROM known) AND (to_name, to_type) IN (SELECT (name, type) FROM known)""",
 )
 def merge_entities_and_edges(spark: SparkSession, d: str) -> DataFrame:
-    e = said(spark, d).select("id", extraction.entities(F.col("said")).alias("entities"))
+    return _merged(said(spark, d))
+
+
+@query("merge_entities_and_edges_whole", ORACLES["merge_entities_and_edges"].replace(_ENTITIES, _WHOLE))
+def merge_entities_and_edges_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The graph of the entities of whole documents."""
+    return _merged(texts(spark, d))
+
+
+def _merged(rows: DataFrame) -> DataFrame:
+    e = rows.select("id", extraction.entities(F.col("said")).alias("entities"))
     each = e.select("id", F.explode("entities").alias("e")).select("id", "e.name", "e.type", "e.confidence")
     known = graph.merge_entities(each.where("confidence >= 0.6"))
     r = extraction.relations(e).withColumn("relation", F.when(F.col("from_type") == "person", F.lit("knows-of")).otherwise(F.lit("seen with")))

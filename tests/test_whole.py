@@ -1,6 +1,9 @@
 """Jobs over whole tables and whole texts: what a cut would lose."""
 
+from pyspark.sql import functions as F
+
 from tarnlake.operators import arbitration
+from tarnlake.plans.registry import QUERIES
 
 
 def test_near_copies_past_any_rank(spark):
@@ -17,3 +20,22 @@ def test_near_copies_past_any_rank(spark):
     texts |= {300: " ".join(base), 301: " ".join([*base[:34], *"abcdef"]), 302: " ".join([*base[:28], *"abcdefghijkl"])}
     df = spark.createDataFrame(list(texts.items()), "id long, text string").repartition(3)
     assert {r.id for r in arbitration.drop_similar_anywhere(df, "text").collect()} == set(texts) - {200, 201, 207, 301}
+
+
+def _documents(spark, tmp_path, texts):
+    rows = [(i, t, "en", "s", len(t)) for i, t in texts.items()]
+    spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").write.parquet(f"{tmp_path}/documents.parquet")
+    return str(tmp_path)
+
+
+def test_entities_after_the_first_word(spark, tmp_path):
+    d = _documents(spark, tmp_path, {1: "zebra " * 300 + "My name is Alice. She works at Acme Labs and uses Docker."})
+    assert {"alice", "docker"} <= {r.name.lower() for r in QUERIES["extract_entities_whole"](spark, d).collect()}
+    assert {("Alice", "Docker")} <= {(r.from_name, r.to_name) for r in QUERIES["infer_relations_whole"](spark, d).collect()}
+    assert QUERIES["merge_entities_and_edges_whole"](spark, d).where(F.col("from_name") == "Alice").count() > 0
+
+
+def test_reflect_reads_the_texts(spark, tmp_path):
+    d = _documents(spark, tmp_path, {i: "zebra " * 300 + f"number {i} uses Kubernetes" for i in (20, 40, 60, 80)})
+    out = QUERIES["reflect_batch"](spark, d).collect()
+    assert any("kubernetes" in r.content.lower() for r in out) and not any("acme" in r.content.lower() for r in out)
