@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import graph, retrieval
 from ..sources import views
 from . import sql
-from .registry import query
+from .registry import ORACLES, query
 
 _SEEDS = "seeds AS (SELECT o_orderkey AS memory_id FROM orders WHERE o_orderkey % 500 = 7)"
 
@@ -17,11 +17,24 @@ def _seeds(spark: SparkSession, d: str) -> DataFrame:
     return views.table(spark, d, "orders").where("o_orderkey % 500 = 7").select(F.col("o_orderkey").alias("memory_id"))
 
 
+#: Every row whose id is divisible by 50.
+_SEEDS_WHOLE = _SEEDS.replace("% 500 = 7", "% 50 = 0")
+
+
+def _seeds_whole(spark: SparkSession, d: str) -> DataFrame:
+    return views.table(spark, d, "orders").where("o_orderkey % 50 = 0").select(F.col("o_orderkey").alias("memory_id"))
+
+
 @query("entities_of_memories", f"WITH {views.MENTIONS}, {_SEEDS} SELECT memory_id, entity_id FROM mentions WHERE memory_id IN (SELECT memory_id FROM seeds)")
 def entities_of_memories(spark: SparkSession, d: str) -> DataFrame:
     return graph.entities_of(_seeds(spark, d), views.mentions(spark, d)).select("memory_id", "entity_id")
 
 
+@query("entities_of_memories_whole", ORACLES["entities_of_memories"].replace(_SEEDS, _SEEDS_WHOLE))
+def entities_of_memories_whole(spark: SparkSession, d: str) -> DataFrame:
+    return graph.entities_of(_seeds_whole(spark, d), views.mentions(spark, d)).select("memory_id", "entity_id")
+
+
 @query(
     "memories_of_entities",
     f"WITH {views.MENTIONS} SELECT memory_id, count(*) AS n_entities FROM mentions WHERE entity_id IN (SELECT p_partkey FROM part WHERE p_brand = 'Brand#4' AND p_size < 10) GROUP BY memory_id",
@@ -39,6 +52,11 @@ def graph_neighbours_1hop(spark: SparkSession, d: str) -> DataFrame:
     return graph.neighbours(_seeds(spark, d), views.mentions(spark, d))
 
 
+@query("graph_neighbours_1hop_whole", ORACLES["graph_neighbours_1hop"].replace(_SEEDS, _SEEDS_WHOLE))
+def graph_neighbours_1hop_whole(spark: SparkSession, d: str) -> DataFrame:
+    return graph.neighbours(_seeds_whole(spark, d), views.mentions(spark, d))
+
+
 _EDGES = "edges AS (SELECT row_number() OVER (ORDER BY a, b) AS e, a, b FROM (SELECT DISTINCT l_orderkey % 3000 AS a, 3000 + l_suppkey AS b FROM lineitem WHERE l_linenumber = 1))"
 
 
@@ -60,6 +78,19 @@ def graph_neighbours_2hop(spark: SparkSession, d: str) -> DataFrame:
     return graph.traverse(s, _edges(spark, d), 2)
 
 
+#: The supplier of every line; orders take even numbers, suppliers odd ones.
+_EDGES_WHOLE = "edges AS (SELECT row_number() OVER (ORDER BY a, b) AS e, a, b FROM (SELECT DISTINCT l_orderkey * 2 AS a, l_suppkey * 2 + 1 AS b FROM lineitem))"
+_STARTS_WHOLE = "s AS (SELECT s_suppkey * 2 + 1 AS a FROM supplier WHERE s_suppkey % 50 = 0)"
+
+
+@query("graph_neighbours_2hop_whole", ORACLES["graph_neighbours_2hop"].replace(_EDGES, _EDGES_WHOLE).replace("s AS (SELECT s_suppkey + 3000 AS a FROM supplier WHERE s_suppkey < 5)", _STARTS_WHOLE))
+def graph_neighbours_2hop_whole(spark: SparkSession, d: str) -> DataFrame:
+    """The graph of all lines with the orders' own keys, from every supplier whose key is divisible by 50."""
+    e = views.table(spark, d, "lineitem").select((F.col("l_orderkey") * 2).alias("a"), (F.col("l_suppkey") * 2 + 1).alias("b")).distinct()
+    s = views.table(spark, d, "supplier").where("s_suppkey % 50 = 0").select((F.col("s_suppkey") * 2 + 1).alias("node"))
+    return graph.traverse(s, e.withColumn("edge_id", F.xxhash64("a", "b")), 2)
+
+
 @query("entity_cooccurrence", f"WITH {views.MENTIONS} SELECT a.entity_id AS a, b.entity_id AS b, count(*) AS n FROM mentions a JOIN mentions b ON a.memory_id = b.memory_id AND a.entity_id < b.entity_id GROUP BY ALL")
 def entity_cooccurrence(spark: SparkSession, d: str) -> DataFrame:
     return graph.cooccurrence(views.mentions(spark, d))
@@ -132,10 +163,18 @@ _RELATED = "related AS (SELECT a.entity_id AS a, b.entity_id AS b, count(*) AS n
     SELECT query_id, id, k AS position, 0.45::DOUBLE AS similarity FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY by_, id) AS k FROM one) WHERE k <= 5""",
 )
 def capped_graph_expansion(spark: SparkSession, d: str) -> DataFrame:
+    return _expanded(views.mentions(spark, d), "memory_id % 1500 = 7")
+
+
+@query("capped_graph_expansion_whole", ORACLES["capped_graph_expansion"].replace("o_orderkey % 1500 = 7", "o_orderkey % 50 = 0"))
+def capped_graph_expansion_whole(spark: SparkSession, d: str) -> DataFrame:
+    return _expanded(views.mentions(spark, d), "memory_id % 50 = 0")
+
+
+def _expanded(m: DataFrame, seeds: str) -> DataFrame:
     from ..functions import fixed
 
-    m = views.mentions(spark, d)
-    s = m.where("memory_id % 1500 = 7").select(F.col("memory_id").alias("query_id"), "entity_id", F.col("entity_id").alias("position"))
+    s = m.where(seeds).select(F.col("memory_id").alias("query_id"), "entity_id", F.col("entity_id").alias("position"))
     pairs = m.join(s.select("entity_id").distinct(), "entity_id", "left_semi").select("memory_id", F.col("entity_id").alias("a")).join(m, "memory_id")
     related = pairs.where("a <> entity_id").groupBy("a", F.col("entity_id").alias("b")).agg(F.count("*").alias("n"))
     out = graph.capped_expansion(s, related, m)

@@ -39,3 +39,15 @@ def test_reflect_reads_the_texts(spark, tmp_path):
     d = _documents(spark, tmp_path, {i: "zebra " * 300 + f"number {i} uses Kubernetes" for i in (20, 40, 60, 80)})
     out = QUERIES["reflect_batch"](spark, d).collect()
     assert any("kubernetes" in r.content.lower() for r in out) and not any("acme" in r.content.lower() for r in out)
+
+
+def test_graph_of_all_lines(spark, tmp_path):
+    d = str(tmp_path)
+    # order 3007 would fold into 7; supplier 8 is on a second line alone
+    lines = [(7, 1, 50, 1), (7, 2, 8, 2), (3007, 3, 9, 1), (100, 1, 9, 1)]
+    spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{d}/lineitem.parquet")
+    spark.createDataFrame([(50,), (8,), (9,)], "s_suppkey long").write.parquet(f"{d}/supplier.parquet")
+    spark.createDataFrame([(7,), (3007,), (100,)], "o_orderkey long").write.parquet(f"{d}/orders.parquet")
+    assert {(r.start, r.node, r.hops) for r in QUERIES["graph_neighbours_2hop_whole"](spark, d).collect()} == {(101, 14, 1), (101, 17, 2)}
+    assert {(r.memory_id, r.entity_id) for r in QUERIES["entities_of_memories_whole"](spark, d).collect()} == {(100, 1)}
+    assert {(r.memory_id, r.other) for r in QUERIES["graph_neighbours_1hop_whole"](spark, d).collect()} == {(100, 7)}
