@@ -24,4 +24,4 @@ def query(name: str, sql: str | None = None):
 
 
 from . import graph_queries, metric_queries, retrieval_queries, text_queries, verb_queries, write_queries  # noqa: E402, F401  (each registers its queries)
-from . import stream_queries  # noqa: E402, F401, I001  (after those whose SQL it shares)
+from . import stream_queries, whole_queries  # noqa: E402, F401, I001  (after those whose SQL they share)

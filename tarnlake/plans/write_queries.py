@@ -43,7 +43,7 @@ def fact_dedup_tiers(spark: SparkSession, d: str) -> DataFrame:
 def remember_decisions(spark: SparkSession, d: str) -> DataFrame:
     """What would become of each new memory beside all older ones."""
     m = views.memories(spark, d).where("embedding IS NOT NULL")
-    new = m.where("id < 120").select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"), F.col("content").alias("new"))
+    new = m.where(views.asked("id", 120)).select(F.col("id").alias("query_id"), F.col("embedding").alias("query_embedding"), F.col("content").alias("new"))
     near = retrieval.knn(new, m.select("id", "embedding"), 5, least=LIKE, older=True)
     texts = near.join(new.select("query_id", "new"), "query_id").join(m.select("id", F.col("content").alias("old")), "id")
     pairs = texts.select(F.col("query_id").alias("id"), F.col("id").alias("other"), "similarity", arbitration.arbitrate(F.col("old"), F.col("new")).alias("verdict"))

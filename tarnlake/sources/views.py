@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -69,9 +73,31 @@ FACTS = """facts AS (
     FROM conversations c LEFT JOIN embeddings e ON e.vec_id = (conv_id * 8 + turn) % 500)"""
 
 
+_whole: ContextVar[bool] = ContextVar("whole", default=False)
+
+
+@contextmanager
+def whole() -> Iterator[None]:
+    """Plans made within take every row whose id is divisible by 50 as their query set, with its whole text."""
+    token = _whole.set(True)
+    try:
+        yield
+    finally:
+        _whole.reset(token)
+
+
+def is_whole() -> bool:
+    return _whole.get()
+
+
+def asked(key: str, n: int) -> Column:
+    """What belongs to the query set: ids below n, or all that 50 divides."""
+    return F.col(key) % 50 == 0 if _whole.get() else F.col(key) < n
+
+
 def query_batch(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
     """A stated set of questions: the first n vectors, each with a benchmark text, a user and an agent."""
-    e = table(spark, sf_dir, "embeddings").where(F.col("vec_id") < n).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
+    e = table(spark, sf_dir, "embeddings").where(asked("vec_id", n)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     i = F.col("query_id")
     return e.join(b, "query_id", "left").withColumns({"query_user": i % 20, "query_agent": i % 5})

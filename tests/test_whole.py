@@ -51,3 +51,11 @@ def test_graph_of_all_lines(spark, tmp_path):
     assert {(r.start, r.node, r.hops) for r in QUERIES["graph_neighbours_2hop_whole"](spark, d).collect()} == {(101, 14, 1), (101, 17, 2)}
     assert {(r.memory_id, r.entity_id) for r in QUERIES["entities_of_memories_whole"](spark, d).collect()} == {(100, 1)}
     assert {(r.memory_id, r.other) for r in QUERIES["graph_neighbours_1hop_whole"](spark, d).collect()} == {(100, 7)}
+
+
+def test_questions_of_all_ids(spark, data):
+    due = {r.vec_id for r in spark.read.parquet(f"{data}/embeddings.parquet").where("vec_id % 50 = 0").collect()}
+    assert len(due) > 1 and max(due) >= 120
+    for name in ("knn_topk_whole", "knn_batch_topk_whole", "precision_recall_mrr_whole", "fact_dedup_tiers_whole"):
+        assert {r.query_id for r in QUERIES[name](spark, data).collect()} == due
+    assert {r.query_id for r in QUERIES["recall_direct"](spark, data).collect()} == due
