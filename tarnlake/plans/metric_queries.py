@@ -11,7 +11,7 @@ from ..functions import fixed
 from ..operators import arbitration, metrics, packing
 from ..sources import views
 from . import sql
-from .registry import query
+from .registry import ORACLES, query
 from .retrieval_queries import _KNN, _Q, knn_batch_topk
 
 _FACT_LIST = "l AS (SELECT conv_id AS query_id, conv_id * 100 + turn AS id, turn + 1 AS rank, text AS fact, round(0.9::DOUBLE - turn * 0.1::DOUBLE, 6) AS score FROM conversations)"
@@ -128,6 +128,16 @@ def supersession_filter(spark: SparkSession, d: str) -> DataFrame:
     return arbitration.drop_superseded(c).select("query_id", "id", "rank")
 
 
+@query(
+    "supersession_filter_whole",
+    ORACLES["supersession_filter"].replace("CASE WHEN turn % 3 = 2 THEN 'No longer so. ' ELSE '' END || CASE WHEN turn % 2 = 0 THEN 'Deploys alpha services through gamma tools. ' ELSE '' END || left(text, 30) AS said", "text AS said"),
+)
+def supersession_filter_whole(spark: SparkSession, d: str) -> DataFrame:
+    """Whole turns, with nothing put before them."""
+    c = views.facts(spark, d).select(F.col("memory_id").alias("query_id"), "id", F.col("fact").alias("content"), "created_at", (F.col("turn") + 1).cast("int").alias("rank"))
+    return arbitration.drop_superseded(c).select("query_id", "id", "rank")
+
+
 @query(
     "merge_context_lines",
     r"""WITH l AS (SELECT conv_id AS query_id, turn AS position, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS at_ FROM conversations),

@@ -153,8 +153,10 @@ _BY_SCORE = "row_number() OVER (PARTITION BY query_id ORDER BY score DESC, id) A
 
 
 def short_queries(spark: SparkSession, d: str) -> DataFrame:
-    """The batch's questions, shortened to their first two words that count."""
+    """The batch's questions, shortened to their first two words that count; whole ones as they are."""
     q = views.query_batch(spark, d)
+    if views.is_whole():
+        return q
     return q.withColumn("query", F.array_join(F.slice(text.tokens(F.col("query"), 2, fixed.ENTITY_STOPWORDS), 1, 2), " "))
 
 

@@ -10,13 +10,15 @@ import re
 from pyspark.sql import DataFrame, SparkSession
 
 from ..sources import views
+from . import sql
 from .registry import ORACLES, QUERIES, query
+from .retrieval_queries import _SHORT
 
 
-def _whole(name: str, sql: str) -> None:
+def _whole(name: str, oracle: str) -> None:
     f = QUERIES[name]
 
-    @query(f"{name}_whole", re.sub(r"\b(vec_id|a\.id) < (?:1|20|40|120)\b", r"\1 % 50 = 0", sql))
+    @query(f"{name}_whole", re.sub(r"\b(vec_id|a\.id) < (?:1|20|40|120)\b", r"\1 % 50 = 0", oracle))
     def run(spark: SparkSession, d: str) -> DataFrame:
         with views.whole():
             return f(spark, d)
@@ -27,3 +29,7 @@ for _name in (
     "rerank_blend", "graph_expand_knn", "precision_recall_mrr", "fact_dedup_tiers", "remember_decisions",
 ):
     _whole(_name, ORACLES[_name])
+
+#: These count all words of a question.
+for _name in ("keyword_match_topk", "bm25_topk", "rrf_fusion", "rrf_noise_floor"):
+    _whole(_name, ORACLES[_name].replace(sql.lexemes(_SHORT), sql.lexemes("query")))

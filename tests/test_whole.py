@@ -59,3 +59,15 @@ def test_questions_of_all_ids(spark, data):
     for name in ("knn_topk_whole", "knn_batch_topk_whole", "precision_recall_mrr_whole", "fact_dedup_tiers_whole"):
         assert {r.query_id for r in QUERIES[name](spark, data).collect()} == due
     assert {r.query_id for r in QUERIES["recall_direct"](spark, data).collect()} == due
+
+
+def test_words_past_a_prefix(spark, tmp_path):
+    d = _documents(spark, tmp_path, {1: "alpha beta", 2: "alpha beta gamma", 3: "gamma"})
+    spark.createDataFrame([(50, [1.0, 0.0], 0)], "vec_id long, embedding array<double>, label int").write.parquet(f"{d}/embeddings.parquet")
+    spark.createDataFrame([(50, "alpha beta gamma")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
+    assert [r.id for r in QUERIES["keyword_match_topk_whole"](spark, d).collect()] == [2]
+    assert {r.id for r in QUERIES["bm25_topk_whole"](spark, d).collect()} == {1, 2, 3}
+    late = "Some words of no weight come first in both turns, then: "
+    turns = [(1, 0, late + "service runs kubernetes cluster"), (1, 1, late + "service no longer runs kubernetes cluster")]
+    spark.createDataFrame([(c, t, "user", x) for c, t, x in turns], "conv_id long, turn int, role string, text string").write.parquet(f"{d}/conversations.parquet")
+    assert [r.id for r in QUERIES["supersession_filter_whole"](spark, d).collect()] == [101]
