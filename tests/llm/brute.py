@@ -18,6 +18,18 @@ def shingles(text: str) -> set:
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} or ({tuple(w)} if w else set())
 
 
+def components(edges) -> dict[int, int]:
+    """The smallest node that each node of the edges reaches."""
+    at = {x: x for e in edges for x in e}
+    while True:
+        after = dict(at)
+        for a, b in edges:
+            after[a] = after[b] = min(after[a], after[b])
+        if after == at:
+            return at
+        at = after
+
+
 def near_components(texts: dict[int, str], percent: int = 85) -> dict[int, int]:
     sets = {i: shingles(t) for i, t in texts.items()}
     parent = {i: i for i in sets}
