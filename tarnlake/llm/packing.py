@@ -137,9 +137,7 @@ class Words:
         text = np.searchsorted(offsets, starts, "right") - 1
         good = plain[text]
         starts, ends, text = starts[good], ends[good], text[good]
-        _, at, which = np.unique(shared.span_hash(shared.prefix_hash(low), starts, ends), return_index=True, return_inverse=True)
-        raw = low.tobytes()
-        words = [raw[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        words, which = shared.distinct(low, starts, ends)
         self._learn([w for w in words if w not in self.words])
         ids = [self.words[w] for w in words]
         flat = np.frombuffer(b"".join(ids), "<u4")

@@ -94,6 +94,17 @@ def pieces(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
             at = end
 
 
+def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct byte strings of spans that are in order, not empty and don't overlap, and which each span is."""
+    inside = np.zeros(len(data) + 1, np.int8)
+    inside[start] = 1
+    inside[end] -= 1
+    own = data[np.cumsum(inside[:-1], dtype=np.int8).view(bool)]
+    offsets = np.concatenate([[0], np.cumsum(end - start)])
+    spans = pa.Array.from_buffers(pa.large_binary(), len(start), [None, pa.py_buffer(offsets.astype(np.int64)), pa.py_buffer(own)]).dictionary_encode()
+    return spans.dictionary.to_pylist(), spans.indices.to_numpy()
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """Finaliser with good avalanche over uint64 (wraps)."""
     x = x ^ (x >> _U(30))
@@ -134,7 +145,8 @@ def prefix_hash(data: np.ndarray, values: np.ndarray = BYTE) -> np.ndarray:
 
 
 def span_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """Hashes of the byte spans [start, end), equal for equal bytes wherever they stand."""
+    """Hashes of the byte spans [start, end), equal for equal bytes wherever they stand. Spans of other bytes
+    may share one, and some long ones (of 1024 bytes) do: not for what tells texts apart."""
     inv = powers(len(s), inverse=True)
     return mix((s[end] - s[start]) * inv[start] + (end - start).astype(_U))
 
