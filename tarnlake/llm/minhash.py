@@ -3,8 +3,10 @@
 Under each permutation both the smallest and the largest hash are kept, so 128 hash evaluations give a
 signature of 256 values, cut into bands of eight. Documents with one set of shingles become a class and
 only its representative goes on. Representatives that share a band hash with others are joined to the
-smallest of them; what hangs together that way is a family. A family's full sets meet in tasks of
-bounded size, where an inverted index confirms links exactly: no pairs are emitted, only components.
+smallest of them; what hangs together that way is a family. A family's full sets meet in chunks of bounded
+size, each with the family's smallest document, where links are confirmed exactly: no pairs are emitted,
+only components. Where a family's chunks leave several components, a prefix filter brings those together
+that may still be linked across chunks.
 At a similarity of 0.85 a pair shares no band with a probability below 0.0001, at 0.9 below 1e-7.
 """
 
@@ -14,15 +16,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import xxhash
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import graph, shared
 
 PERMUTATIONS, BANDS = 128, 32
 WORDS = 5
-#: Shingles of a family in one block; a task compares two blocks at most.
-BLOCK_SHINGLES = 1 << 20
+#: A chunk of a family: so many shingles or sets. A block of what its chunks leave open; a task compares two.
+CHUNK_SHINGLES, CHUNK_SETS, BLOCK_SHINGLES = 1 << 17, 128, 1 << 18
 
 _U = np.uint64
 _seed = shared.mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=_U) * _U(0x9E6C63D0876A9A47))
@@ -30,8 +33,14 @@ _XOR, _MUL = (_seed[:PERMUTATIONS] >> _U(32)).astype(np.uint32), (_seed[PERMUTAT
 _STEP = [_U(pow(0xA24BAED4963EE407, k, 1 << 64)) for k in range(WORDS)]
 
 
-def shingle_sets(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Offsets and the distinct shingle hashes of each text, sorted within it."""
+_LOWER = np.arange(256, dtype=np.uint8)
+_LOWER[65:91] += 32
+
+
+def shingle_sets(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Offsets, and the distinct shingles of each text as 128-bit hashes in two halves, sorted within it.
+
+    A word's hash is of all its bytes; a shingle adds up its words' hashes, each times its own odd factor."""
     space = (data == 32) | ((data >= 9) & (data <= 13))
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
@@ -41,24 +50,52 @@ def shingle_sets(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, np.
     after[:-1] = space[1:]
     starts = np.flatnonzero(~space & (before | edge[:-1]))
     ends = np.flatnonzero(~space & (after | edge[1:])) + 1
-    word = shared.span_hash(shared.prefix_hash(data, shared.LOWERED), starts, ends)
+    words, which = shared.distinct(_LOWER[data], starts, ends)
+    digests = np.frombuffer(b"".join(map(xxhash.xxh3_128_digest, words)), ">u8").reshape(-1, 2).astype(_U)
     first = np.searchsorted(starts, offsets)
     count = np.diff(first)
-    whole = np.zeros(max(0, len(word) - WORDS + 1), _U)
-    for k in range(WORDS if len(whole) else 0):
-        whole += word[k : k + len(whole)] * _STEP[k]
-    whole = shared.mix(whole)
+    # texts of fewer words have one shingle of those
+    short = np.flatnonzero((count > 0) & (count < WORDS))
+    halves = []
+    for half in (0, 1):
+        word = digests[:, half][which]
+        whole = np.zeros(max(0, len(word) - WORDS + 1), _U)
+        for k in range(WORDS if len(whole) else 0):
+            whole += word[k : k + len(whole)] * _STEP[k]
+        few = np.zeros(len(short), _U)
+        for k in range(WORDS - 1):
+            more = count[short] > k
+            few[more] += word[first[:-1][short][more] + k] * _STEP[k]
+        halves.append((shared.mix(whole), shared.mix(few + count[short].astype(_U))))
+    (low, few_low), (high, few_high) = halves
     out, at = [], np.zeros(len(count) + 1, np.int64)
+    few = dict(zip(short.tolist(), range(len(short)), strict=True))
     for d, (f, c) in enumerate(zip(first[:-1].tolist(), count.tolist(), strict=True)):
         if c >= WORDS:
-            s = np.unique(whole[f : f + c - WORDS + 1])
+            own = _distinct(low[f : f + c - WORDS + 1], high[f : f + c - WORDS + 1])
         elif c:
-            s = shared.mix(np.array([sum(int(word[f + k]) * int(_STEP[k]) for k in range(c)) + c & (1 << 64) - 1], _U))
+            own = few_low[few[d] : few[d] + 1], few_high[few[d] : few[d] + 1]
         else:
-            s = word[:0]
-        out.append(s)
-        at[d + 1] = at[d] + len(s)
-    return at, np.concatenate(out) if out else word[:0]
+            own = low[:0], high[:0]
+        out.append(own)
+        at[d + 1] = at[d] + len(own[0])
+    if not out:
+        return at, low[:0], high[:0]
+    return at, np.concatenate([x for x, _ in out]), np.concatenate([y for _, y in out])
+
+
+def _distinct(low: np.ndarray, high: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Pairs once each, sorted."""
+    order = np.argsort(low)
+    low, high = low[order], high[order]
+    same = low[1:] == low[:-1]
+    if (same & (high[1:] != high[:-1])).any():
+        order = np.lexsort((high, low))
+        low, high = low[order], high[order]
+        same = (low[1:] == low[:-1]) & (high[1:] == high[:-1])
+    new = np.ones(len(low), bool)
+    new[1:] = ~same
+    return low[new], high[new]
 
 
 def bands_of(at: np.ndarray, sets: np.ndarray) -> np.ndarray:
@@ -83,73 +120,93 @@ def bands_of(at: np.ndarray, sets: np.ndarray) -> np.ndarray:
 
 def _signatures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in shared.pieces(batches):
-        at, sets = shingle_sets(*shared.bytes_of(b.column("text")))
+        at, low, high = shingle_sets(*shared.bytes_of(b.column("text")))
         n = np.diff(at)
         full = np.flatnonzero(n)
         keys, bands = np.zeros((2, len(n)), _U), np.zeros((0, BANDS), _U)
         if len(full):
             tight = np.append(at[:-1][full], at[-1])
-            keys[0, full] = np.add.reduceat(shared.mix(sets), tight[:-1])
-            keys[1, full] = np.add.reduceat(shared.mix(~sets), tight[:-1])
-            bands = bands_of(tight, sets)
+            keys[0, full] = np.add.reduceat(shared.mix(low), tight[:-1])
+            keys[1, full] = np.add.reduceat(shared.mix(high ^ shared.mix(low)), tight[:-1])
+            bands = bands_of(tight, low)
         lists = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(n > 0) * BANDS]), pa.int32()), pa.array(bands.ravel().view(np.int64)))
         yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n), pa.array(keys[0].view(np.int64)), pa.array(keys[1].view(np.int64)), lists], ["doc_id", "n_shingles", "key1", "key2", "bands"])
 
 
-def confirm(sets: list[np.ndarray], percent: int) -> np.ndarray:
+def confirm(low: np.ndarray, high: np.ndarray, size: np.ndarray, percent: int) -> np.ndarray:
     """For each set the index of its component's first, where sets of at least percent similarity are linked.
 
-    Pairs that can't reach it are left out by exact bounds: of a set only the shingles that some other set
-    has can be shared. The others' overlaps come from an inverted index, a set at a time.
+    The sets lie end to end, each of its size. Overlaps of a few sets with all come at once: shingles that
+    many sets have as a product of matrices, the others by an inverted index. First comes the set that
+    shares most; what stays outside the largest component after that is compared with all.
     """
-    g = len(sets)
-    size = np.array([len(s) for s in sets])
-    values = np.concatenate(sets)
+    g = len(size)
     owner = np.repeat(np.arange(g), size)
-    order = np.argsort(values, kind="stable")
-    values, owner = values[order], owner[order]
-    new = np.ones(len(values), bool)
-    new[1:] = values[1:] != values[:-1]
+    order = np.argsort(low, kind="stable")
+    same = low[order[1:]] == low[order[:-1]]
+    if (same & (high[order[1:]] != high[order[:-1]])).any():
+        order = np.lexsort((high, low))
+        same = (low[order[1:]] == low[order[:-1]]) & (high[order[1:]] == high[order[:-1]])
+    owner = owner[order]
+    new = np.ones(len(owner), bool)
+    new[1:] = ~same
     starts = np.flatnonzero(new)
-    counts = np.diff(np.append(starts, len(values)))
-    group = np.cumsum(new) - 1
-    common = counts[group] > 1
-    shared_by = np.bincount(owner[common], minlength=g)
-    by_owner = np.argsort(owner[common], kind="stable")
-    columns = group[common][by_owner]
-    at = np.concatenate([[0], np.cumsum(shared_by)])
-    comp = np.arange(g)
-    open_ = np.ones(g, bool)
+    counts = np.diff(np.append(starts, len(owner)))
+    column = np.cumsum(new) - 1
+    n = counts[column]
+    base = int((counts == g).sum())
+    many = (n > max(16, g // 16)) & (n < g)
+    dense = np.zeros((g, len(np.unique(column[many]))), np.float32)
+    dense[owner[many], np.unique(column[many], return_inverse=True)[1]] = 1
+    few = np.flatnonzero((n > 1) & ~many & (n < g))
+    few = few[np.argsort(owner[few], kind="stable")]
+    at = np.searchsorted(owner[few], np.arange(g + 1))
+    columns = column[few]
+    shared_by = np.bincount(owner[n > 1], minlength=g)
     able = 100 * shared_by >= percent * size
-    for x in np.argsort(-shared_by, kind="stable").tolist():
-        if not able[x]:
-            continue
-        most = np.minimum(shared_by[x], shared_by)
-        want = open_ & able & (comp != comp[x]) & (100 * most >= percent * (size[x] + size - most))
-        open_[x] = False
-        if not want.any():
-            continue
-        own = columns[at[x] : at[x + 1]]
-        n = counts[own]
-        where = np.repeat(starts[own] - np.concatenate([[0], np.cumsum(n)[:-1]]), n) + np.arange(n.sum())
-        overlap = np.bincount(owner[where], minlength=g)
-        linked = want & (100 * overlap >= percent * (size[x] + size - overlap))
-        if linked.any():
-            met = np.unique(np.append(comp[linked], comp[x]))
-            comp[np.isin(comp, met)] = met[0]
-    return comp
+    comp, open_ = np.arange(g), able.copy()
+    step = max(1, min(256, (1 << 21) // g))
+
+    def compare(rows: np.ndarray) -> None:
+        others = np.flatnonzero(open_)
+        overlap = base + (dense[rows] @ dense[others].T).astype(np.int64)
+        if len(few):
+            own = np.concatenate([columns[at[r] : at[r + 1]] for r in rows.tolist()])
+            mine = np.repeat(np.arange(len(rows)), at[rows + 1] - at[rows])
+            k = counts[own]
+            where = np.repeat(starts[own] - np.cumsum(k) + k, k) + np.arange(k.sum())
+            met = np.bincount(np.repeat(mine, k) * g + owner[where], minlength=len(rows) * g)
+            overlap += met.reshape(len(rows), g)[:, others]
+        linked = 100 * overlap >= percent * (size[rows][:, None] + size[others][None, :] - overlap)
+        for r, ok in zip(rows.tolist(), linked, strict=True):
+            met = np.unique(np.append(comp[others[ok]], comp[r]))
+            if len(met) > 1:
+                comp[np.isin(comp, met)] = met[0]
+        open_[rows] = False
+
+    if able.any():
+        compare(np.array([np.where(able, shared_by, -1).argmax()]))
+    while True:
+        # what lies in the largest component meets the rest when the rest is compared
+        outside = np.flatnonzero(open_ & (comp != np.bincount(comp[able], minlength=1).argmax())) if open_.any() else ()
+        if not len(outside):
+            return comp
+        compare(outside[:step])
 
 
 def _grouped(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    """Stream of rows sorted by task; each task's sets are confirmed together."""
+    """Stream of rows sorted by task (family, i, j); each task's sets are confirmed together."""
     key, nodes, sets = None, [], []
 
     def done() -> pa.RecordBatch:
-        comp = confirm(sets, percent)
+        halves = [np.frombuffer(s, _U).reshape(2, -1) for s in sets]
+        comp = confirm(np.concatenate([x[0] for x in halves]), np.concatenate([x[1] for x in halves]), np.array([x.shape[1] for x in halves]), percent)
         ids = np.array(nodes, np.int64)
+        for i in np.flatnonzero(ids[1:] == ids[:-1]).tolist():  # several sets of one doc_id
+            comp[comp == comp[i + 1]] = comp[i]
         low = np.full(len(ids), np.iinfo(np.int64).max)
         np.minimum.at(low, comp, ids)
-        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), key[1] > 0 or key[2] > 0)), pa.array(ids), pa.array(low[comp])], ["many", "node", "comp"])
+        return pa.RecordBatch.from_arrays([pa.array(np.full(len(ids), key[0])), pa.array(ids), pa.array(low[comp])], ["family", "node", "comp"])
 
     for b in batches:
         for k, node, s in zip(zip(*(b.column(c).to_pylist() for c in ("family", "i", "j")), strict=True), b.column("node").to_pylist(), b.column("shingles"), strict=True):
@@ -158,17 +215,62 @@ def _grouped(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.Rec
                     yield done()
                 key, nodes, sets = k, [], []
             nodes.append(node)
-            sets.append(np.frombuffer(s.as_py(), _U))
+            sets.append(s.as_py())
     if nodes:
         yield done()
 
 
+def _confirmed(tasks: DataFrame, percent: int) -> DataFrame:
+    """family, node, comp of tasks (family, i, j, node, shingles): comp is the smallest node that links reach in the task."""
+    tasks = tasks.select("family", "i", "j", "node", "shingles").repartition(shared.parts(tasks.sparkSession), "family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
+    return tasks.mapInArrow(lambda it: _grouped(it, percent), "family long, node long, comp long")
+
+
 def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in shared.pieces(batches):
-        at, sets = shingle_sets(*shared.bytes_of(b.column("text")))
-        raw, at = sets.tobytes(), (8 * at).tolist()
-        found = pa.array([raw[i:j] for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())
-        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("family", "blocks", "block", "node")), found], ["family", "blocks", "block", "node", "shingles"])
+        at, low, high = shingle_sets(*shared.bytes_of(b.column("text")))
+        at = at.tolist()
+        found = pa.array([low[i:j].tobytes() + high[i:j].tobytes() for i, j in zip(at[:-1], at[1:], strict=True)], pa.binary())
+        yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("family", "chunks", "chunk", "node")), found], ["family", "chunks", "chunk", "node", "shingles"])
+
+
+def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A row for each shingle of a set; mark tells the sets of one node apart."""
+    for b in shared.pieces(batches, "shingles"):
+        sets = [np.frombuffer(s.as_py(), np.int64).reshape(2, -1) for s in b.column("shingles")]
+        n = [x.shape[1] for x in sets]
+        kept = [pa.array(np.repeat(b.column(c).to_numpy(), n)) for c in ("family", "node", "comp")]
+        marks = pa.array(np.repeat([x.sum() for x in sets], n))
+        yield pa.RecordBatch.from_arrays([*kept, marks, pa.array(np.repeat(n, n)), pa.array(np.concatenate([x[0] for x in sets])), pa.array(np.concatenate([x[1] for x in sets]))], ["family", "node", "comp", "mark", "size", "low", "high"])
+
+
+def _across(sets: DataFrame, found: DataFrame, percent: int, folder: str) -> DataFrame:
+    """Links (a, b) between sets of one family that met in no chunk and aren't known to hang together.
+
+    By the prefix filter: of a set's shingles, the rarest of the family first, so many count that a linked
+    set must have one of them among its own. Sets of two components that share such a shingle, and what
+    hangs together that way, are compared in full: at once, or block by block where they fill several.
+    """
+    key = ["family", "low", "high"]
+    rest = sets.join(found.select("node", "comp"), "node").select("family", "node", "comp", "shingles")
+    each = shared.staged(rest.mapInArrow(_each, "family long, node long, comp long, mark long, size long, low long, high long"), folder, "each")
+    seen = shared.staged(each.groupBy(*key).agg(F.count("*").alias("n")), folder, "seen")
+    order = Window.partitionBy("node", "size", "mark").orderBy("n", "low", "high")
+    prefix = each.join(seen, key).withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1)
+    prefix = shared.staged(prefix.select(*key, "node", "comp"), folder, "prefix")
+    met = prefix.groupBy(*key).agg(F.min("node").alias("first"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
+    met = shared.staged(met.select(*key, "first"), folder, "met")
+    kin = graph.components(prefix.join(met, key).select(F.col("node").alias("a"), F.col("first").alias("b")), folder, "kin")
+    rest = rest.select("node", "shingles").join(kin.withColumnRenamed("comp", "family"), "node")
+    total = rest.groupBy("family").agg(F.ceil(F.sum(F.length("shingles")) / (16 * BLOCK_SHINGLES)).cast("int").alias("blocks"))
+    total = shared.staged(total, folder, "kin-sizes")
+    rest = rest.join(total, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (j != F.col("block")) | (F.col("blocks") == 1))
+    tasks = rest.withColumn("other", F.explode(others)).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
+    out = shared.staged(_confirmed(tasks, percent).select(F.col("node").alias("a"), F.col("comp").alias("b")), folder, "across")
+    for name in ("each", "seen", "prefix", "met", "kin-sizes"):
+        shared.unstage(sets.sparkSession, folder, name)
+    return out
 
 
 def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
@@ -200,20 +302,27 @@ def near_dedup(docs: DataFrame, percent: int = 85) -> DataFrame:
     families = graph.components(pairs, folder, "families")
 
     sized = families.join(member.where("bands IS NOT NULL").groupBy(F.col("rep").alias("node")).agg(F.max("n_shingles").alias("n")), "node")
-    totals = sized.groupBy("comp").agg(F.ceil(F.sum("n") / BLOCK_SHINGLES).cast("int").alias("blocks"))
-    placed = families.join(totals, "comp").select("node", F.col("comp").alias("family"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    sets = text.join(placed, F.col("doc_id") == F.col("node")).select("family", "blocks", "block", "node", "text")
-    sets = sets.mapInArrow(_sets, "family long, blocks int, block int, node long, shingles binary")
-    others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (j != F.col("block")) | (F.col("blocks") == 1))
-    tasks = sets.withColumn("other", F.explode(others)).select("family", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "node", "shingles")
-    tasks = tasks.repartition(shared.parts(spark), "family", "i", "j").sortWithinPartitions("family", "i", "j", "node")
-    found = shared.staged(tasks.mapInArrow(lambda it: _grouped(it, percent), "many boolean, node long, comp long"), folder, "found")
-
-    done = found.where("NOT many")
-    if not found.where("many").isEmpty():
-        links = found.where("many").select(F.col("node").alias("a"), F.col("comp").alias("b"))
-        done = done.select("node", "comp").union(graph.components(links, folder, "blocks"))
+    most = F.greatest(F.ceil(F.sum("n") / CHUNK_SHINGLES), F.ceil(F.count("*") / CHUNK_SETS))
+    totals = shared.staged(sized.groupBy("comp").agg(most.cast("int").alias("chunks")), folder, "sizes")
+    chunk = F.pmod(F.xxhash64("node"), F.col("chunks")).cast("int")
+    placed = shared.staged(families.join(totals, "comp").select("node", F.col("comp").alias("family"), "chunks", chunk.alias("chunk")), folder, "placed")
+    sets = text.join(placed, F.col("doc_id") == F.col("node")).select("family", "chunks", "chunk", "node", "text")
+    sets = shared.staged(sets.mapInArrow(_sets, "family long, chunks int, chunk int, node long, shingles binary"), folder, "sets")
+    # a family's smallest node, which the others share bands with, is in every chunk
+    chunks = F.when(F.col("node") == F.col("family"), F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array("chunk"))
+    tasks = sets.withColumn("i", F.explode(chunks)).withColumn("j", F.col("i"))
+    found = shared.staged(_confirmed(tasks, percent).groupBy("family", "node").agg(F.min("comp").alias("comp")), folder, "found")
+
+    several = found.groupBy("family").agg(F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
+    several = shared.staged(several.join(totals.where("chunks > 1"), F.col("family") == F.col("comp")).select("family"), folder, "several")
+    done = found.select("node", "comp")
+    if not several.isEmpty():
+        across = _across(sets.join(several, "family", "left_semi"), found, percent, folder)
+        links = found.join(several, "family", "left_semi").select(F.col("node").alias("a"), F.col("comp").alias("b")).union(across)
+        done = done.union(graph.components(links, folder, "chunks"))
     done = shared.staged(done.groupBy("node").agg(F.min("comp").alias("comp")), folder, "components")
+    for name in ("sizes", "placed", "sets", "found", "several"):
+        shared.unstage(spark, folder, name)
     out = member.join(done, F.col("rep") == F.col("node"), "left")
     component = F.coalesce("comp", "rep", "doc_id")
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))

@@ -38,8 +38,9 @@ def test_near_dedup(documents):
     assert {r.doc_id: (r.n_shingles, r.component_id, r.kept) for r in got} == {i: (len(brute.shingles(texts[i])), want[i], want[i] == i) for i in texts}
 
 
-@pytest.mark.parametrize("block", [1 << 20, 400])
-def test_near_copies_of_one_text(spark, monkeypatch, block):
+@pytest.mark.parametrize(("chunk", "block"), [(1 << 17, 1 << 18), (400, 1 << 18), (400, 400)])
+def test_near_copies_of_one_text(spark, monkeypatch, chunk, block):
+    monkeypatch.setattr(minhash, "CHUNK_SHINGLES", chunk)
     monkeypatch.setattr(minhash, "BLOCK_SHINGLES", block)
     rng = np.random.default_rng(5)
     base = [f"w{i}" for i in range(120)]
@@ -55,6 +56,72 @@ def test_near_copies_of_one_text(spark, monkeypatch, block):
     assert len(set(want.values())) < 100
 
 
+@pytest.mark.parametrize("chunk", [1 << 17, 100])
+def test_near_dedup_of_repeated_ids(spark, monkeypatch, chunk):
+    monkeypatch.setattr(minhash, "CHUNK_SHINGLES", chunk)
+    words = [[f"{c}{i}" for i in range(80)] for c in "abcd"]
+    text = [" ".join(w) for w in words]
+    rows = [(1, text[0]), (2, text[0] + " x"), (2, text[1]), (3, text[1] + " y"), (4, text[2]), (5, text[2] + " z"), (6, text[3])]
+    got = collections.defaultdict(set)
+    for r in minhash.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect():
+        got[r.doc_id].add(r.component_id)
+    assert got == {1: {1}, 2: {1}, 3: {1}, 4: {4}, 5: {4}, 6: {6}}
+
+
+def test_confirm():
+    rng = np.random.default_rng(8)
+    for percent in (50, 85):
+        base = rng.permutation(10**6)[:60]
+        sets = []
+        for i in range(300):
+            own = rng.permutation(base)[: rng.integers(45, 61)] if i % 3 else rng.integers(0, 10**6, rng.integers(1, 9))
+            sets.append(np.unique(np.append(own, rng.integers(0, 300, rng.integers(0, 8)))).astype(np.uint64))
+        size = np.array([len(x) for x in sets])
+        low = np.concatenate(sets)
+        got = minhash.confirm(low // np.uint64(2), low, size, percent)  # halves that collide
+        pairs = [(i, i) for i in range(len(sets))] + [(i, j) for i in range(len(sets)) for j in range(i) if 100 * (n := len(np.intersect1d(sets[i], sets[j]))) >= percent * (size[i] + size[j] - n)]
+        want = brute.components(pairs)
+        first: dict = {}
+        assert [first.setdefault(c, i) for i, c in enumerate(got.tolist())] == [want[i] for i in range(len(sets))]
+
+
+def test_confirm_is_fast():
+    import time
+
+    rng = np.random.default_rng(9)
+    size = np.full(8000, 60)
+    low = np.stack([np.append(np.arange(54), 100 + rng.permutation(40)[:6]) for _ in size]).astype(np.uint64)
+    began = time.process_time()
+    minhash.confirm(low.ravel(), low.ravel(), size, 85)
+    assert time.process_time() - began < 30  # of all threads; about two seconds of one clock
+    print(time.process_time() - began)
+
+
+def thue_morse(n=1024):
+    """Two texts of letters on which any byte polynomial modulo 2**64 agrees."""
+    bits = [bin(i).count("1") % 2 for i in range(n)]
+    return "".join("ab"[b] for b in bits), "".join("ba"[b] for b in bits)
+
+
+def test_texts_that_a_polynomial_takes_for_one(spark):
+    a, b = thue_morse()
+    rows = [(1, a), (2, b), (3, f"{a} {b} {a}"), (4, f"{a} {a} {a}"), (5, f"{b}\n{b}")]
+    df = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    assert {r.doc_id: r.component_id for r in minhash.near_dedup(df).collect()} == brute.near_components(dict(rows)) == {i: i for i in range(1, 6)}
+    e = tiktoken_of()
+    for r in bpe.encode(df, RANKS, public_tokenizers.PATTERN).collect():
+        assert r.decoded == dict(rows)[r.doc_id] and r.ids == ",".join(map(str, e.encode_ordinary(r.decoded)))
+    import tokenizers
+
+    t = tokenizers.Tokenizer.from_file(WORDS)
+    for r in packing.pack(df, WORDS).where("piece = 0").collect():
+        assert [*r.ids] == [*t.encode(dict(rows)[r.doc_id]).ids, 0][:2048]
+    want = brute.repeated({i: x.encode() for i, x in rows})
+    assert {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in suffix.substring_dedup(df, keep=False).collect()} == want
+    prints = {r.doc_id: r.fingerprint for r in fingerprint.fingerprint(df).collect()}
+    assert prints[3] != prints[4]
+
+
 def test_near_dedup_edges(edge, nothing):
     got = collections.defaultdict(list)
     for r in minhash.near_dedup(edge).collect():
