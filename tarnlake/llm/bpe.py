@@ -2,16 +2,28 @@
 
 A text is cut by the split pattern; the distinct words that a worker hasn't met become token-position
 rows. A recursive query joins neighbouring positions with the merge table and contracts, in each word,
-the leftmost pair of smallest rank, until no pair of any word is in the table. Ordered aggregation
-then gives each word's ids, and through the vocabulary the bytes that they decode to. Texts never
-leave their partition: nothing is shuffled, and a task lost is a task run again.
+the leftmost pair of smallest rank, until no pair of any word is in the table. In the same step it
+contracts every other pair that this rule is sure to come to as it stands: one that nothing beside it can
+break up before. So a word of any length takes few steps, and there is no other way for long ones. Ordered
+aggregation then gives each word's ids, and through the vocabulary the bytes that they decode to. Texts
+never leave their partition: nothing is shuffled, and a task lost is a task run again.
+
+When a pair (t, c) of rank r stands in a, t, c, d, what can break it up is a merge across its left edge, of
+a or something longer that ends with a, and t; or across its right edge, of c, and d or something longer
+that begins with d. `pairs` has, for two tokens, the rank of their merge, and the least rank of any merge
+of what ends with the first and the second (lb), and of the first and what begins with the second (rb).
+The pair is sure if a, t merges later than r, and either nothing that ends with a merges with t before r
+(lb of a, t), or a can't grow before r (lb of x, a with x before a); alike on the right; and if the merged
+token could not go on with its neighbours at a rank below r, which would then come too early. Of pairs of
+one rank side by side (aaaa) the first, third and so on are merged, as from the left.
 """
 
 from __future__ import annotations
 
 import base64
 import hashlib
-import heapq
+import os
+import tempfile
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,9 +32,9 @@ from pyspark.sql import DataFrame
 
 from . import shared
 
-#: Words in one recursive query, words in a worker's memory (about 300 bytes each), and the longest word in
-#: bytes for the recursion, whose rows grow as the square of that; longer ones take a heap by the same rule.
-BATCH, MEMORY, LONG = 50_000, 600_000, 128
+#: Bytes of words in one recursive query (one longer word is taken alone), and words in a worker's memory
+#: (about 300 bytes each).
+BATCH, MEMORY = 1 << 18, 600_000
 
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
@@ -36,16 +48,46 @@ _KIND[[*range(65, 91), *range(97, 123), 0xC3, *range(0x80, 0xC0)]] = 2
 _KIND[[0x97, 0xB7]] = 0
 _KIND[48:58] = 3
 
+_PAIRS = """
+CREATE TABLE pairs AS
+WITH x AS (
+    SELECT l::BIGINT * 65536 + r AS k, rank, rank AS lb, rank AS rb FROM merges
+    UNION ALL SELECT tail::BIGINT * 65536 + r, NULL, rank, NULL FROM merges JOIN tails ON t = l
+    UNION ALL SELECT l::BIGINT * 65536 + head, NULL, NULL, rank FROM merges JOIN heads ON t = r)
+SELECT k, coalesce(min(rank), 65536) AS rank, coalesce(min(lb), 65536) AS lb, coalesce(min(rb), 65536) AS rb FROM x GROUP BY k
+"""
+
+# 65536 stands for no merge; x, a, t, c, d, e are the tokens from two before a pair (t, c) to two after it, q its
+# right half's place
 _ENCODE = """
 WITH RECURSIVE state(step, w, p, t) AS (
     SELECT 0, w, p, t FROM fresh
     UNION ALL
-    (WITH least AS (
-        SELECT a.w, min(merges.rank::BIGINT * 65536 + a.p) AS k
-        FROM state a JOIN state b ON a.w = b.w AND b.p = a.p + 1 JOIN merges ON merges.l = a.t AND merges.r = b.t GROUP BY a.w)
-     SELECT step + 1, s.w, CASE WHEN s.p > k % 65536 THEN s.p - 1 ELSE s.p END::INT, CASE WHEN s.p = k % 65536 THEN (k // 65536)::INT ELSE s.t END
-     FROM state s JOIN least ON s.w = least.w
-     WHERE s.p <> k % 65536 + 1)
+    (WITH beside AS (
+        SELECT step, w, p, t, lead(p) OVER o AS q, lead(t) OVER o AS c, lead(t, 2) OVER o AS d, lead(t, 3) OVER o AS e, lag(t) OVER o AS a, lag(t, 2) OVER o AS x
+        FROM state WINDOW o AS (PARTITION BY w ORDER BY p)),
+     found AS (
+        SELECT w, p, q, m.rank, a, t, c, d, e, x FROM beside JOIN pairs m ON m.k = t::BIGINT * 65536 + c WHERE m.rank < 65536),
+     held AS (
+        SELECT w, p, q, f.rank,
+               least(coalesce(ab.rank, 65536), greatest(coalesce(ab.lb, 65536), coalesce(xa.lb, 65536))) AS on_left,
+               least(coalesce(cd.rank, 65536), greatest(coalesce(cd.rb, 65536), coalesce(de.rb, 65536))) AS on_right, a, d
+        FROM found f LEFT JOIN pairs ab ON ab.k = a::BIGINT * 65536 + t LEFT JOIN pairs cd ON cd.k = c::BIGINT * 65536 + d
+             LEFT JOIN pairs xa ON xa.k = x::BIGINT * 65536 + a LEFT JOIN pairs de ON de.k = d::BIGINT * 65536 + e),
+     sure AS (
+        SELECT w, p, q, h.rank, h.rank < on_left AS first
+        FROM held h LEFT JOIN pairs l ON l.k = a::BIGINT * 65536 + h.rank LEFT JOIN pairs r ON r.k = h.rank::BIGINT * 65536 + d
+        WHERE h.rank <= on_left AND h.rank <= on_right AND coalesce(l.lb > h.rank, true) AND coalesce(r.rb > h.rank, true)),
+     placed AS (
+        SELECT *, row_number() OVER o AS i, coalesce(lag(q) OVER o <> p, true) AS opens FROM sure WINDOW o AS (PARTITION BY w ORDER BY p)),
+     runs AS (
+        SELECT *, max(CASE WHEN opens THEN 2 * i + (NOT first)::INT END) OVER (PARTITION BY w ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM placed),
+     sound AS (SELECT w, p, q, rank FROM runs WHERE run % 2 = 0 AND (i - run // 2) % 2 = 0),
+     least AS (SELECT w, min(rank::BIGINT << 32 | p) AS k FROM found WHERE w NOT IN (SELECT w FROM sound) GROUP BY w),
+     merges AS (SELECT * FROM sound UNION ALL SELECT f.w, f.p, f.q, f.rank FROM found f JOIN least ON f.w = least.w AND f.p = k & 4294967295)
+     SELECT step + 1, s.w, s.p, coalesce(m.rank, s.t)
+     FROM state s LEFT JOIN merges m ON s.p = m.p
+     WHERE s.w IN (SELECT w FROM merges) AND s.p NOT IN (SELECT q FROM merges))
 ),
 final AS (SELECT w, max(step) AS step FROM state GROUP BY w)
 SELECT w, string_agg(t::VARCHAR, ',' ORDER BY p) || ',' AS ids, string_agg(hex, '' ORDER BY p) AS hex
@@ -58,6 +100,18 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+def _parts(words: list[bytes]) -> Iterator[list[bytes]]:
+    """The words in parts of at most BATCH bytes, or one longer word."""
+    at = size = 0
+    for i, w in enumerate(words):
+        if i > at and size + len(w) > BATCH:
+            yield words[at:i]
+            at, size = i, 0
+        size += len(w)
+    if words:
+        yield words[at:]
+
+
 class Encoder:
     """Words to ids and back, with a bounded memory of what it has encoded."""
 
@@ -69,15 +123,25 @@ class Encoder:
         # \s as Unicode's White_Space, which the pattern's own library takes it for
         pattern = pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\S", f"[^{_SPACE}]").replace(r"\s", f"[{_SPACE}]")
         self.find = regex.compile(pattern).findall
-        left, right, rank = [], [], []
+        left, right, rank, heads, tails = [], [], [], [], []
         for token, r in self.ranks.items():
-            for i in range(1, len(token)):
-                if (a := self.ranks.get(token[:i])) is not None and (b := self.ranks.get(token[i:])) is not None:
+            for i in range(1, len(token) + 1):
+                a, b = self.ranks.get(token[:i]), self.ranks.get(token[i:])
+                if a is not None and b is not None:
                     left.append(a)
                     right.append(b)
                     rank.append(r)
-        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB"})
+                if a is not None:
+                    heads.append((r, a))
+                if (b := self.ranks.get(token[-i:])) is not None:
+                    tails.append((r, b))
+        # what a very long word doesn't fit into memory with goes to the worker's own scratch folder
+        scratch = os.path.join(tempfile.gettempdir(), f"bpe-{os.getpid()}")
+        self.db = duckdb.connect(config={"threads": 1, "memory_limit": "400MB", "temp_directory": scratch, "max_temp_directory_size": "4GB"})
         self._table("merges", {"l": pa.array(left, pa.int32()), "r": pa.array(right, pa.int32()), "rank": pa.array(rank, pa.int32())})
+        for name, found in (("head", heads), ("tail", tails)):
+            self._table(f"{name}s", {"t": pa.array([x for x, _ in found], pa.int32()), name: pa.array([y for _, y in found], pa.int32())})
+        self.db.execute(_PAIRS).fetchall()
         self._table("vocabulary", {"t": pa.array(self.ranks.values(), pa.int32()), "hex": [x.hex() for x in self.ranks]})
         single = [self.ranks[bytes([x])] for x in range(256)]
         self.byte = np.array(single, np.int32)
@@ -91,16 +155,11 @@ class Encoder:
 
     def learn(self, words: list[bytes]) -> None:
         """Encode words, none twice."""
-        for w in words:
-            if len(w) > LONG:
-                self.words[w] = self.by_heap(w)
-        short = [w for w in words if len(w) <= LONG]
-        for at in range(0, len(short), BATCH):
-            part = short[at : at + BATCH]
+        words.sort(key=len)
+        for part in _parts(words):
             length = np.fromiter(map(len, part), np.int64, len(part))
-            start = np.cumsum(length) - length
             t = self.byte[np.frombuffer(b"".join(part), np.uint8)]
-            self._table("fresh", {"w": np.repeat(np.arange(len(part), dtype=np.int32), length), "p": (np.arange(len(t)) - np.repeat(start, length)).astype(np.int32), "t": t})
+            self._table("fresh", {"w": np.repeat(np.arange(len(part), dtype=np.int32), length), "p": np.arange(len(t), dtype=np.int32), "t": t})
             for i, ids, text in self.db.execute(_ENCODE).fetchall():
                 self.words[part[i]] = ids, bytes.fromhex(text)
 
@@ -131,39 +190,13 @@ class Encoder:
         good = plain[text]
         return plain, text[good], starts[good], ends[good]
 
-    def by_heap(self, b: bytes) -> tuple[str, bytes]:
-        """The same rule for a very long word, in its length times the logarithm of that."""
-        tokens: list[bytes | None] = [b[i : i + 1] for i in range(len(b))]
-        after, before = list(range(1, len(b) + 1)), list(range(-1, len(b) - 1))
-        heap: list[tuple[int, int, bytes]] = []
-
-        def offer(i: int) -> None:
-            if i >= 0 and after[i] < len(b) and (r := self.ranks.get(pair := tokens[i] + tokens[after[i]])) is not None:
-                heapq.heappush(heap, (r, i, pair))
-
-        for i in range(len(b)):
-            offer(i)
-        while heap:
-            _, i, pair = heapq.heappop(heap)
-            if tokens[i] is None or (j := after[i]) >= len(b) or tokens[i] + tokens[j] != pair:
-                continue
-            tokens[i], tokens[j], after[i] = pair, None, after[j]
-            if after[j] < len(b):
-                before[after[j]] = i
-            offer(i)
-            offer(before[i])
-        ids = [self.ranks[t] for t in tokens if t is not None]
-        return "".join(f"{i}," for i in ids), b"".join(t for t in tokens if t is not None)
-
     def texts(self, texts: pa.Array) -> Iterator[tuple[str, bytes]]:
         """For each text its ids, joined by commas, and the bytes that they decode to."""
         if len(self.words) > MEMORY:
             self.words.clear()
         offsets, data = shared.bytes_of(texts)
         plain, text, starts, ends = self.cut(offsets, data)
-        _, at, which = np.unique(shared.span_hash(shared.prefix_hash(data), starts, ends), return_index=True, return_inverse=True)
-        raw = data.tobytes()
-        words = [raw[i:j] for i, j in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        words, which = shared.distinct(data, starts, ends)
         others = np.flatnonzero(~plain)
         own = {d: [w.encode() for w in self.find(t)] for d, t in zip(others.tolist(), texts.take(pa.array(others)).to_pylist(), strict=True)}
         self.learn(list(set(words).union(*own.values()) - self.words.keys()))

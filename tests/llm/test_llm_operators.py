@@ -247,6 +247,32 @@ def test_bpe_words():
         assert ids == ",".join(map(str, e.encode_ordinary(t))) and back == t.encode()
 
 
+@pytest.mark.parametrize("file", ["byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken"])
+def test_bpe_long_words(file):
+    import tiktoken
+
+    mine = bpe.encoder(public_tokenizers.path(file), public_tokenizers.PATTERN)
+    e = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=mine.ranks, special_tokens={})
+    rng = np.random.default_rng(6)
+    for alphabet in ("abcdefghijklmnopqrstuvwxyz", "etaoin", "ab", "éàçñü", "语言模型数据"):
+        words = ["".join(rng.choice(list(alphabet), n)) for n in (1, 2, 127, 129, 1000, 5000)]
+        words += [alphabet[0] * 4001, alphabet[:2] * 999, (alphabet[0] * 2 + alphabet[1]) * 700]
+        for t, (ids, back) in zip(words, mine.texts(pa.array(words)), strict=True):
+            assert ids == ",".join(map(str, e.encode_ordinary(t))) and back == t.encode()
+
+
+def test_bpe_of_tokens():
+    """Every token of the vocabulary, and pairs of them, as one word."""
+    e, mine = tiktoken_of(), bpe.encoder(RANKS, public_tokenizers.PATTERN)
+    tokens = [t for t in mine.ranks if len(t) > 1]
+    rng = np.random.default_rng(7)
+    words = tokens + [tokens[i] + tokens[j] + tokens[k] for i, j, k in rng.integers(0, len(tokens), (5000, 3))]
+    words = list(set(words))
+    mine.learn(list(words))
+    assert all(mine.words[w][0][:-1] == ",".join(map(str, e._core_bpe.encode_single_piece(w))) and mine.words[w][1] == w for w in words)
+    mine.words.clear()
+
+
 def test_bpe_empty(nothing):
     assert bpe.encode(nothing, RANKS, public_tokenizers.PATTERN).count() == 0
 
