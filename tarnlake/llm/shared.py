@@ -151,6 +151,41 @@ def span_hash(s: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
     return mix((s[end] - s[start]) * inv[start] + (end - start).astype(_U))
 
 
+#: A prime, and two bases with random values for the bytes, for hashes whose equality is taken for that of bytes.
+PRIME = (1 << 31) - 1
+_BASES = (1_204_837_943, 1_919_450_611)
+_PRIME_VALUES = [1 + (mix(np.arange(1, 257, dtype=_U) * _U(0x8CB92BA72F3D8DD7 + 2 * k)) % _U(PRIME - 1)).astype(np.int64) for k in (0, 1)]
+
+
+def _prime_powers(n: int, base: int) -> np.ndarray:
+    """1, base, base**2 ... modulo PRIME."""
+    have = _powers.get(-base)
+    if have is None or len(have) < n:
+        size = max(n, CHUNK_BYTES + 4096)
+        have = np.empty(size, np.int64)
+        have[0], done = 1, 1
+        while done < size:
+            more = min(done, size - done)
+            have[done : done + more] = have[:more] * pow(base, done, PRIME) % PRIME
+            done += more
+        if size <= 4 * CHUNK_BYTES:
+            _powers[-base] = have
+    return have[:n]
+
+
+def twin_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """Two polynomials of the byte spans [start, end) modulo a prime with bases of their own, 31 bits each.
+    Two strings of n bytes, whatever they are, share both for (n / PRIME)**2 of all pairs of bases."""
+    out = np.zeros(len(start), np.int64)
+    for base, values in zip(_BASES, _PRIME_VALUES, strict=True):
+        x = values[data] * _prime_powers(len(data), base)
+        s = np.zeros(len(data) + 1, np.int64)
+        np.cumsum((x & PRIME) + (x >> 31), out=s[1:])
+        back = _prime_powers(len(data) + 1, pow(base, -1, PRIME))[start]
+        out = out << 31 | (s[end] - s[start]) % PRIME * back % PRIME
+    return out
+
+
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     """min(x[i:i+w]) for each i up to len(x) - w, by doubling."""
     out, have = x, 1

@@ -3,11 +3,12 @@
 Only passages that can repeat are brought together. In every string of 100 bytes one anchor is chosen by
 its content alone: the leftmost of its 24-byte substrings with the smallest hash. Equal strings have equal
 anchors, so windows (places where a string starts) are dealt out by anchor, a run of windows with one
-anchor as one row. Rows with the same bytes are settled by their hashes: all but the earliest repeat. Where
-an anchor stands in different bytes, those bytes go to a shard by anchor; a shard's suffix array is built
-by Larsson-Sadakane refinement, common prefixes by Kasai's sweep, and windows whose suffixes share 100
-bytes repeat the earliest of them. Shards of one anchor are merged by binary search. An anchor with more
-different bytes than a task should hold goes by the hashes of its windows instead.
+anchor as one row. Rows with the same bytes, by two polynomials modulo a prime, are settled at once: all but
+the earliest repeat. Where an anchor stands in different bytes, those bytes go to a shard by anchor; a
+shard's suffix array is built by Larsson-Sadakane refinement, common prefixes by Kasai's sweep, and windows
+whose suffixes share 100 bytes repeat the earliest of them. Shards of one anchor are merged by binary
+search. Windows of an anchor with more different bytes than a task should hold are dealt out by their own
+bytes instead, and equal ones meet there.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ from pyspark.sql import functions as F
 from . import shared
 
 #: Bytes of a repeated string, of an anchor; bytes of a shard; rows of one anchor that a task may hold.
-LENGTH, ANCHOR, SHARD_BYTES, MOST_ROWS = 100, 24, 1 << 20, 20_000
+LENGTH, ANCHOR, SHARD_BYTES, MOST_ROWS = 100, 24, 1 << 20, 2_000
 #: Rows of anchors that a task combines before it sends them.
 COMBINE = 1 << 19
 
@@ -35,11 +36,11 @@ _U = np.uint64
 
 def anchors(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
     """For each run of windows with one anchor: text, first window, last window, anchor, hash of the
-    anchor's bytes, hash of the run's bytes with the anchor's place in them. Places count from the text's start."""
+    anchor's bytes, hash of the run's bytes. Places count from the text's start."""
     n = len(data)
     none = np.zeros(0, np.int64)
     if n < LENGTH:
-        return none, none, none, none, none.view(_U), none.view(_U)
+        return none, none, none, none, none.view(_U), none
     s = shared.prefix_hash(data)
     h = ((s[ANCHOR:] - s[:-ANCHOR]) * shared.powers(n - ANCHOR + 1, inverse=True)) * _U(0xD6E8FEB86659FD93)
     key = h & ~_U((1 << 30) - 1) | np.arange(len(h), dtype=_U)
@@ -61,7 +62,7 @@ def anchors(offsets: np.ndarray, data: np.ndarray) -> tuple[np.ndarray, ...]:
     if over.any():
         raise AssertionError("a run crosses texts")
     own = shared.span_hash(s, at, at + ANCHOR)
-    whole = shared.mix(shared.span_hash(s, lo, hi + LENGTH) + (at - lo).astype(_U))
+    whole = shared.twin_hash(data, lo, hi + LENGTH)
     base = offsets[text]
     return text, lo - base, hi - base, at - base, own, whole
 
@@ -102,7 +103,7 @@ def _find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         text, lo, hi, at, own, whole = anchors(*shared.bytes_of(b.column("text")))
         if len(text):
             doc = b.column("doc").to_numpy()[text]
-            held.append([own.view(np.int64), whole.view(np.int64), doc, lo, hi, at])
+            held.append([own.view(np.int64), whole, doc, lo, hi, at])
             if sum(len(c[0]) for c in held) >= COMBINE:
                 yield from combined()
     if held:
@@ -357,15 +358,16 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Two hashes of every window of a run."""
-    for b in shared.pieces(batches, "raw"):
+    """Every window of a run, with its bytes."""
+    for b in shared.pieces(batches, "raw", shared.CHUNK_BYTES >> 5):
         offsets, data = shared.bytes_of(b.column("raw"))
         n = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
         run = np.repeat(np.arange(len(n)), n)
         shift = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
         at = offsets[run] + shift
-        keys = [shared.span_hash(shared.prefix_hash(data, v), at, at + LENGTH).view(np.int64) for v in (shared.BYTE, shared.mix(shared.BYTE))]
-        yield pa.RecordBatch.from_arrays([*map(pa.array, keys), pa.array(b.column("doc").to_numpy()[run]), pa.array(b.column("lo").to_numpy()[run] + shift)], ["key1", "key2", "doc", "at"])
+        raw = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at] if len(at) else np.zeros((0, LENGTH), np.uint8)
+        raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LENGTH), len(at), [None, pa.py_buffer(np.ascontiguousarray(raw))]).cast(pa.binary())
+        yield pa.RecordBatch.from_arrays([raw, pa.array(b.column("doc").to_numpy()[run]), pa.array(b.column("lo").to_numpy()[run] + shift)], ["raw", "doc", "at"])
 
 
 def _remove(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
@@ -397,12 +399,18 @@ def substring_dedup(docs: DataFrame, keep: bool = True) -> DataFrame:
     Texts are UTF-8 bytes, null counts as empty. A byte goes if a string of LENGTH bytes that covers it also
     starts earlier: in a smaller doc_id, or earlier in the same text. Strings are judged on the input and
     never cross texts. A row with a null doc_id has no place in the order: it stays whole and nothing repeats
-    it. Rows that share a doc_id are one text, which they must share: none of them repeats another. Other
-    columns are not read.
+    it. Rows alike in doc_id and text are one document, none of which repeats another; different texts of one
+    doc_id are documents of their own, in the order of their SHA-256. Other columns are not read.
     """
     spark = docs.sparkSession
     folder = shared.shared_dir(spark)
     text = shared.text_of(docs).withColumn("doc", F.col("doc_id"))
+    if not text.where("doc IS NOT NULL").groupBy("doc").count().where(F.col("count") > 1).isEmpty():
+        # numbers that keep the order stand for doc_ids
+        text = text.drop("doc").withColumn("sha", F.sha2("text", 256))
+        order = text.where("doc_id IS NOT NULL").select("doc_id", "sha").distinct().orderBy("doc_id", "sha").withColumn("doc", F.monotonically_increasing_id())
+        order = shared.staged(order, folder, "order")
+        text = shared.staged(text.join(order, ["doc_id", "sha"], "left").drop("sha"), folder, "texts")
     rows = text.where("doc IS NOT NULL").select("doc", "text").mapInArrow(_find, _ROW)
     met = rows.repartition(shared.parts(spark), "anchor").sortWithinPartitions("kind", "anchor", "bytes", "doc", "lo")
     sorted_out = shared.staged(met.mapInArrow(_sort_out, _ROW), folder, "anchors")
@@ -414,10 +422,10 @@ def substring_dedup(docs: DataFrame, keep: bool = True) -> DataFrame:
     crowded = shared.staged(crowded, folder, "crowded")
     if not crowded.isEmpty():
         cut = shared.staged(cut, folder, "runs")
-        windows = cut.join(crowded, "anchor", "left_semi").mapInArrow(_windows, "key1 long, key2 long, doc long, at long")
+        windows = cut.join(crowded, "anchor", "left_semi").mapInArrow(_windows, "raw binary, doc long, at long")
         windows = shared.staged(windows, folder, "windows")
-        first = windows.groupBy("key1", "key2").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        again = windows.join(first, ["key1", "key2"]).where(F.struct("doc", "at") != F.col("first"))
+        first = windows.groupBy("raw").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
+        again = windows.join(first, "raw").where(F.struct("doc", "at") != F.col("first"))
         repeats = repeats.union(again.select("doc", F.col("at").alias("lo"), F.col("at").alias("hi")))
         cut = cut.join(crowded, "anchor", "left_anti")
     shards = cut.repartition(shared.parts(spark), "anchor").sortWithinPartitions("anchor", "doc", "lo")

@@ -9,7 +9,7 @@ import public_tokenizers
 import pyarrow as pa
 import pytest
 
-from tarnlake.llm import bpe, exact_dedup, fingerprint, minhash, packing, pii, queries, sharding, suffix, toxicity, url_filter
+from tarnlake.llm import bpe, exact_dedup, fingerprint, minhash, packing, pii, queries, sharding, shared, suffix, toxicity, url_filter
 
 import brute
 from compare import same
@@ -388,6 +388,25 @@ def test_suffix(spark, monkeypatch, shard, rows):
     assert all(brute.sha(bytes(r.kept)) == r.kept_sha256 for r in got)
 
 
+def test_suffix_of_repeated_ids(spark):
+    rng = np.random.default_rng(4)
+    base, other, short = ("".join(map(chr, rng.integers(97, 123, n))) for n in (300, 220, 90))
+    rows = [(1, base), (2, base[40:200] + "!"), (2, short), (2, other), (2, other), (3, other[50:] + base[:120])]
+    got = collections.defaultdict(list)
+    for r in suffix.substring_dedup(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect():
+        got[r.doc_id, r.n_bytes].append(r.n_removed)
+    # texts of one doc_id are documents of their own, rows alike are one
+    assert got == {(1, 300): [0], (2, 161): [160], (2, 90): [0], (2, 220): [0, 0], (3, 290): [290]}
+
+
+def test_twin_hash():
+    a, b = (np.frombuffer(x.encode(), np.uint8) for x in thue_morse())
+    data = np.concatenate([a, b, a[:5], a])
+    at = np.array([0, 1024, 2053])
+    h = shared.twin_hash(data, at, at + 1024)
+    assert h[0] == h[2] != h[1] and (shared.span_hash(shared.prefix_hash(data), at, at + 1024) == shared.span_hash(shared.prefix_hash(data), at, at + 1024)[0]).all()
+
+
 def test_suffix_documents(documents):
     want = brute.repeated({i: t.encode() for i, t in texts_of(documents).items()})
     assert {r.doc_id: tuple(r)[1:] for r in suffix.substring_dedup(documents, keep=False).collect()} == want
