@@ -2,9 +2,10 @@
 
 Candidates come from the strict patterns (the base) and from looser ones. Four labelers vote on each:
 a checked pattern, a gazetteer, the words before it, and its shape. Votes fall into a bounded number of
-patterns; their counts over all documents are the only thing that goes to the driver. There
-expectation-maximisation estimates how reliable each labeler is, and a logistic classifier is trained on
-the resulting soft labels. Base spans always stay; a looser candidate stays if the classifier accepts it.
+patterns, and what a span looks like into a bounded number of features; their counts over all documents are
+the only thing that goes to the driver. There expectation-maximisation estimates from the votes how reliable
+each labeler is, and a logistic classifier of the span's own features is trained on the resulting soft
+labels. Base spans always stay; a looser candidate stays if the classifier accepts it.
 """
 
 from __future__ import annotations
@@ -73,9 +74,19 @@ _VOTE = {
         "WHEN 'card' THEN if(length(regexp_replace(x.m, '[^0-9]', '')) IN (15, 16), 1, 0) ELSE if(length(regexp_replace(x.m, '[^0-9]', '')) BETWEEN 10 AND 12, 1, 0) END"
     ),
 }
+#: What the classifier sees of a span, and how many values each may have: its length, how many of its characters are
+#: digits, whether it has letters, which separators, what stands before it, and in how many groups its digits come.
+FEATURES = {
+    "length": (4, "CASE WHEN length(x.m) <= 8 THEN 0 WHEN length(x.m) <= 16 THEN 1 WHEN length(x.m) <= 32 THEN 2 ELSE 3 END"),
+    "digits": (3, "CASE WHEN NOT x.m rlike '[0-9]' THEN 0 WHEN 2 * length(regexp_replace(x.m, '[^0-9]', '')) <= length(x.m) THEN 1 ELSE 2 END"),
+    "letters": (2, "if(x.m rlike '[A-Za-z]', 1, 0)"),
+    "separators": (8, "if(contains(x.m, '.'), 1, 0) + if(contains(x.m, '-'), 2, 0) + if(x.m rlike '[\\\\[(]', 4, 0)"),
+    "before": (4, "CASE WHEN x.before = '' THEN 0 WHEN x.before rlike '[\\\\s(:<\\\\[]\\\\z' THEN 1 WHEN x.before rlike '[A-Za-z0-9]\\\\z' THEN 2 ELSE 3 END"),
+    "groups": (4, "least(size(split(x.m, '[0-9]+', -1)) - 1, 3)"),
+}
 _SPAN = "array<struct<kind:int,start:long,end:long,m:string,before:string,strict:boolean>>"
-#: Matches folded in one part.
-_PART = 128
+#: Matches folded in one part; characters of a text's pieces when spans are replaced.
+_PART, _STEP = 128, 1024
 
 
 def _quoted(pattern: str) -> str:
@@ -94,8 +105,9 @@ def _spans(kind: str, pattern: str, hint: str, strict: bool) -> str:
     empty = f"named_struct('at', 0L, 'out', cast(array() AS {_SPAN}))"
     # a fold copies what it has at every step, so texts with very many matches are folded in parts, and the parts then
     parts = f"transform(sequence(0, size(z) div {_PART}), i -> aggregate(slice(z, i * {_PART} + 1, {_PART}), {empty}, {step}))"
-    moved = "transform(r.out, x -> named_struct('kind', x.kind, 'start', x.start + a.at, 'end', x.end + a.at, 'm', x.m, 'before', x.before, 'strict', x.strict))"
-    whole = f"transform(array({zipped}), z -> aggregate({parts}, {empty}, (a, r) -> named_struct('at', a.at + r.at, 'out', concat(a.out, {moved})), a -> a.out))[0]"
+    moved = "transform(r.out, x -> named_struct('kind', x.kind, 'start', x.start + o, 'end', x.end + o, 'm', x.m, 'before', x.before, 'strict', x.strict))"
+    before = "aggregate(slice(ps, 1, i), 0L, (a, q) -> a + q.at)"
+    whole = f"transform(array({zipped}), z -> transform(array({parts}), ps -> flatten(transform(ps, (r, i) -> transform(array({before}), o -> {moved})[0])))[0])[0]"
     held = f"filter({whole}, x -> exists(array(x.m), m -> {HOLDS[kind]}))" if strict else whole
     return f"CASE WHEN {hint} AND text rlike {p} THEN {held} ELSE cast(array() AS {_SPAN}) END"
 
@@ -107,37 +119,59 @@ def candidates(docs: DataFrame, *more: str) -> DataFrame:
     loose = "concat(" + ", ".join(_spans(k, LOOSE[k], LOOSE_HINT[k], False) for k in KINDS if k in LOOSE) + ")"
     voted = {k: v.replace("x.kind = 'email'", "x.kind = 0").replace("x.kind = 'ip'", "x.kind = 1").replace("x.kind = 'card'", "x.kind = 2").replace("x.kind = 'phone'", "x.kind = 3").replace("WHEN 'email'", "WHEN 0").replace("WHEN 'ip'", "WHEN 1").replace("WHEN 'card'", "WHEN 2") for k, v in _VOTE.items()}
     votes = "concat(" + ", ',', ".join(f"cast({voted[k]} AS string)" for k in LABELERS) + ")"
-    found = f"transform(concat(base, filter(loose, y -> NOT exists(base, b -> b.start < y.end AND y.start < b.end))), x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'strict', x.strict, 'votes', {votes}))"
+    features = "concat(" + ", ',', ".join(f"cast({e} AS string)" for _, e in FEATURES.values()) + ")"
+    found = f"transform(concat(base, filter(loose, y -> NOT exists(base, b -> b.start < y.end AND y.start < b.end))), x -> named_struct('kind', x.kind, 'start', x.start, 'end', x.end, 'strict', x.strict, 'votes', {votes}, 'features', {features}))"
     return text.withColumns({"base": F.expr(strict), "loose": F.expr(loose)}).withColumn("found", F.expr(found)).drop("base", "loose")
 
 
 @dataclass(frozen=True)
 class Classifier:
-    """Probability that a candidate is personal data, by (kind, votes): a bounded table."""
+    """Probability that a candidate is personal data, from its kind and features; and what made it."""
 
-    accepted: dict[tuple[int, str], float]
+    weights: list[list[float]]  # by kind: a bias, then a weight for each value of each feature
+    soft: dict[tuple[int, str], float]
     reliability: dict[tuple[int, int], float]
 
+    def probability(self, kind: int, features: str) -> float:
+        w = self.weights[kind]
+        return _sigmoid(w[0] + sum(w[i] for i in _places(features)))
+
     def accepts(self, x: Column) -> Column:
         """Base spans stay; others need one half."""
-        good = [f"{k}:{v}" for (k, v), p in sorted(self.accepted.items()) if p >= 0.5]
-        vote = F.concat(x["kind"].cast("string"), F.lit(":"), x["votes"])
-        return x["strict"] | (vote.isin(good) if good else F.lit(False))
+        w = F.get(F.array(*(F.array(*map(F.lit, own)) for own in self.weights)), x["kind"])
+        f, at, z = F.split(x["features"], ","), 1, F.get(w, F.lit(0))
+        for i, (n, _) in enumerate(FEATURES.values()):
+            z, at = z + F.get(w, F.get(f, F.lit(i)).cast("int") + at), at + n
+        return x["strict"] | (z >= 0)
+
+
+def _sigmoid(x: float) -> float:
+    return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
+
+
+def _places(features: str) -> list[int]:
+    """Where the weights of a span's features stand."""
+    out, at = [], 1
+    for v, (n, _) in zip(features.split(","), FEATURES.values(), strict=True):
+        out.append(at + int(v))
+        at += n
+    return out
 
 
-def learn(counts: list[tuple[int, str, int]], rounds: int = 40) -> Classifier:
-    """Estimate the labelers' reliabilities from the counts of (kind, votes) and train the classifier.
+def label(counts: list[tuple[int, str, int]], rounds: int = 40) -> tuple[dict[tuple[int, str], float], dict[tuple[int, int], float]]:
+    """From the counts of (kind, votes) the probability that such candidates are personal data, and how reliable
+    each kind's labelers are, by expectation-maximisation.
 
     A labeler's vote depends on the hidden truth alone. Counts are over all documents; there are at most
     len(KINDS) * 3 ** len(LABELERS) rows of them.
     """
     rows = [(kind, tuple(int(v) for v in votes.split(",")), n) for kind, votes, n in counts]
-    soft: dict[tuple[int, tuple[int, ...]], float] = {(k, v): 1 / (1 + math.exp(-sum(v))) for k, v, _ in rows}
+    soft = {(k, v): _sigmoid(sum(v)) for k, v, _ in rows}
     reliability: dict[tuple[int, int], float] = {}
     for kind in {k for k, _, _ in rows}:
         own = [(v, n) for k, v, n in rows if k == kind]
+        total = sum(n for _, n in own)
         for _ in range(rounds):
-            total = sum(n for _, n in own)
             yes = sum(n * soft[kind, v] for v, n in own)
             prior = (yes + 1) / (total + 2)
             chance = {}
@@ -148,32 +182,44 @@ def learn(counts: list[tuple[int, str, int]], rounds: int = 40) -> Classifier:
                     # a vote for counts, before any data, as likelier under the truth that it names
                     chance[j, vote] = (a + (2, 1, 0.5)[1 - vote]) / (yes + 3.5), (b + (0.5, 1, 2)[1 - vote]) / (total - yes + 3.5)
             for v, _ in own:
-                log = math.log(prior / (1 - prior)) + sum(math.log(chance[j, x][0] / chance[j, x][1]) for j, x in enumerate(v))
-                soft[kind, v] = 1 / (1 + math.exp(-max(-30.0, min(30.0, log))))
+                soft[kind, v] = _sigmoid(math.log(prior / (1 - prior)) + sum(math.log(chance[j, x][0] / chance[j, x][1]) for j, x in enumerate(v)))
         for j in range(len(LABELERS)):
             cast = sum(n for v, n in own if v[j])
             agree = sum(n * (soft[kind, v] if v[j] > 0 else 1 - soft[kind, v]) for v, n in own if v[j])
             reliability[kind, j] = (agree + 1) / (cast + 2)
-    # the span classifier: kind, votes for and votes against as features, soft labels as targets
-    feature = {r: [1.0, *(float(r[0] == k) for k in range(len(KINDS))), *(float(x > 0) for x in r[1]), *(float(x < 0) for x in r[1])] for r in soft}
-    weight = {(k, v): math.log1p(n) for k, v, n in rows}
-    w = [0.0] * (1 + len(KINDS) + 2 * len(LABELERS))
-    scale = sum(weight.values()) or 1.0
-    for _ in range(500):
-        grad = [0.01 * x for x in w]
-        for r, f in feature.items():
-            p = 1 / (1 + math.exp(-max(-30.0, min(30.0, sum(a * b for a, b in zip(w, f, strict=True))))))
-            g = weight[r] / scale * (p - soft[r])
-            grad = [a + g * b for a, b in zip(grad, f, strict=True)]
-        w = [a - 0.5 * b for a, b in zip(w, grad, strict=True)]
-    out = {(k, ",".join(map(str, v))): 1 / (1 + math.exp(-sum(a * b for a, b in zip(w, f, strict=True)))) for (k, v), f in feature.items()}
-    return Classifier(out, reliability)
+    return {(k, ",".join(map(str, v))): p for (k, v), p in soft.items()}, reliability
+
+
+def fit(rows: list[tuple[int, str, int, float]], rounds: int = 400) -> list[list[float]]:
+    """Logistic regression for each kind: (kind, features, count, sum of soft labels) to weights."""
+    out = []
+    for kind in range(len(KINDS)):
+        own = [(_places(f), math.log1p(n), p / n) for k, f, n, p in rows if k == kind]
+        w = [0.0] * (1 + sum(n for n, _ in FEATURES.values()))
+        scale = sum(x for _, x, _ in own) or 1.0
+        for _ in range(rounds if own else 0):
+            grad = [0.003 * x for x in w]
+            for at, weight, target in own:
+                g = weight / scale * (_sigmoid(w[0] + sum(w[i] for i in at)) - target)
+                grad[0] += g
+                for i in at:
+                    grad[i] += g
+            w = [a - b for a, b in zip(w, grad, strict=True)]
+        out.append(w)
+    return out
 
 
 def train(found: DataFrame) -> Classifier:
-    """found: the result of candidates(). Only the counts of vote patterns reach the driver."""
-    votes = found.select(F.explode("found").alias("x")).groupBy("x.kind", "x.votes").count()
-    return learn([(r["kind"], r["votes"], r["count"]) for r in votes.collect()])
+    """found: the result of candidates(). Only counts by vote pattern, at most 324, and by kind and features, at
+    most 12,288, reach the driver."""
+    each = found.select(F.explode("found").alias("x"))
+    soft, reliability = label([(r["kind"], r["votes"], r["count"]) for r in each.groupBy("x.kind", "x.votes").count().collect()])
+    if not soft:
+        return Classifier(fit([]), soft, reliability)
+    known = F.create_map(*(F.lit(x) for (k, v), p in sorted(soft.items()) for x in (f"{k}:{v}", p)))
+    p = F.element_at(known, F.concat(F.col("x.kind").cast("string"), F.lit(":"), F.col("x.votes")))
+    rows = each.groupBy("x.kind", "x.features").agg(F.count("*").alias("n"), F.round(F.sum(F.round(p, 6)), 3).alias("p"))
+    return Classifier(fit(sorted((r["kind"], r["features"], r["n"], r["p"]) for r in rows.collect())), soft, reliability)
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -210,22 +256,29 @@ def redact(docs: DataFrame) -> DataFrame:
     one, the new length. Spans that overlap are replaced as one, named after the first. Rows, other
     columns and texts without spans stay as they are; a null text stays null.
     """
-    model = train(candidates(docs))
-    inner = candidates(docs.select("doc_id", "text", F.struct("*").alias("_all")), "_all")
+    spark = docs.sparkSession
+    # candidates are found once and wait beside their rows
+    inner = candidates(docs.select("doc_id", "text", F.struct("*").alias("_all")), "_all").select("_all", "found")
+    inner = shared.staged(inner, shared.shared_dir(spark), "found")
+    model = train(inner)
     kept = F.array_sort(F.transform(F.filter("found", model.accepts), lambda x: F.struct(x["start"].alias("start"), x["end"].alias("end"), x["kind"].alias("kind"))))
-    names = F.array(*(F.lit(f"<{k.upper()}>") for k in KINDS))
-    text = F.col("_all.text")
-    start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
-
-    def step(a: Column, x: Column) -> Column:
-        gap = F.substring(text, (a["at"] + 1).cast("int"), F.greatest(x["start"] - a["at"], F.lit(0)).cast("int"))
-        fresh = x["start"] >= a["at"]
-        return F.struct(F.greatest(a["at"], x["end"]).alias("at"), F.when(fresh, F.concat(a["out"], gap, F.get(names, x["kind"]))).otherwise(a["out"]).alias("out"))
-
-    def end(a: Column) -> Column:
-        return F.concat(a["out"], F.substring(text, (a["at"] + 1).cast("int"), F.length(text)))
-
-    clean = F.when(F.size("_kept") == 0, text).otherwise(F.aggregate("_kept", start, step, end))
-    out = inner.withColumn("_kept", kept).withColumn("_clean", clean)
-    new = {"text": F.col("_clean"), "n_chars": F.when(F.size("_kept") == 0, F.col("_all.n_chars")).otherwise(F.length("_clean").cast("long"))} if "n_chars" in docs.columns else {"text": F.col("_clean")}
+    merged = (
+        "aggregate(_kept, cast(array() AS array<struct<start:bigint,end:bigint,kind:int>>), (a, x) -> CASE WHEN size(a) > 0 AND x.start < element_at(a, -1).end "
+        "THEN concat(slice(a, 1, size(a) - 1), array(named_struct('start', element_at(a, -1).start, 'end', greatest(element_at(a, -1).end, x.end), 'kind', element_at(a, -1).kind))) ELSE concat(a, array(x)) END)"
+    )
+    # the text in pieces of _STEP characters: a gap between spans touches its own ones alone
+    inner = inner.withColumn("_kept", kept).withColumn("_spans", F.when(F.size("_kept") > 0, F.expr(merged)))
+    inner = inner.withColumn("_cut", F.when(F.size("_kept") > 0, F.regexp_extract_all(F.col("_all.text"), F.lit(f"(?s).{{1,{_STEP}}}"), F.lit(0))))
+
+    def gap(start: str, end: str) -> str:
+        some = f"substring(_cut[cast(k AS int)], cast(greatest({start} - k * {_STEP}, 0) + 1 AS int), cast(least({end} - k * {_STEP}, {_STEP}) - greatest({start} - k * {_STEP}, 0) AS int))"
+        return f"if({end} > {start}, array_join(transform(sequence({start} div {_STEP}, ({end} - 1) div {_STEP}), k -> {some}), ''), '')"
+
+    names = "array(" + ", ".join(f"'<{k.upper()}>'" for k in KINDS) + ")"
+    spans = f"transform(_spans, (x, i) -> concat({gap('if(i = 0, 0L, _spans[greatest(i, 1) - 1].end)', 'x.start')}, {names}[x.kind]))"
+    tail = gap("element_at(_spans, -1).end", "cast(length(_all.text) AS bigint)")
+    out = inner.withColumn("_clean", F.when(F.size("_kept") == 0, F.col("_all.text")).otherwise(F.expr(f"concat(array_join({spans}, ''), {tail})")))
+    new = {"text": F.col("_clean")}
+    if "n_chars" in docs.columns:
+        new["n_chars"] = F.when(F.size("_kept") == 0, F.col("_all.n_chars")).otherwise(F.length("_clean").cast("long"))
     return out.select(*(new[c].alias(c) if c in new else F.col("_all")[c].alias(c) for c in docs.columns))
