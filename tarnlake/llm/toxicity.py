@@ -1,9 +1,9 @@
 """Toxicity: a linear classifier over character n-grams scaled by naive Bayes log-count ratios.
 
-A feature is a byte n-gram of the lower-cased text, hashed, that occurs at least once, twice or three
-times. Its value is the log of the ratio in which toxic and clean training texts have it; a logistic regression on those values gives
-the weights. Training reads a sample of labelled rows whose size is a parameter; scoring reads whole
-texts where they lie, without a shuffle.
+A feature is an n-gram of characters of the lower-cased text, hashed, that occurs at least once, twice or
+three times. Its value is the log of the ratio in which toxic and clean training texts have it; a logistic
+regression on those values gives the weights. Training reads a sample of labelled rows whose size is a
+parameter; scoring reads whole texts where they lie, without a shuffle.
 """
 
 from __future__ import annotations
@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from . import shared
 
-#: Lengths of the n-grams in bytes, bits of the feature hash, and features kept.
+#: Lengths of the n-grams in characters, bits of the feature hash, and features kept.
 GRAMS, BITS, FEATURES = (3, 4, 5, 6), 19, 10_000
 #: An n-gram gives a feature for each number of occurrences up to this that its text reaches.
 TIMES = 3
@@ -26,16 +26,31 @@ _SPACE = TIMES << BITS
 _BLOCKS = 64
 #: Bytes of text at a time: each gives a feature for every length of n-gram.
 _CHUNK = 1 << 18
-#: The bound of the training sample: rows of each class.
-ROWS_PER_CLASS = 4_000
+#: The bounds of the training sample: rows of each class, and features of all rows (four bytes each on the driver).
+ROWS_PER_CLASS, MOST_ENTRIES = 4_000, 40_000_000
 
-_VALUES = shared.LOWERED.copy()
-_VALUES[[9, 10, 11, 12, 13]] = _VALUES[32]
+_chars: list[np.ndarray] = []
+
+
+def char_values() -> np.ndarray:
+    """A random 64-bit value for each code point; one table a process."""
+    if not _chars:
+        _chars.append(shared.mix(np.arange(1, 0x110001, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95)))
+    return _chars[0]
+
+
+def characters(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """Offsets and code points of the texts in lower case, with white space as spaces; nulls count as empty."""
+    low = [(t or "").lower() for t in texts.to_pylist()]
+    offsets = np.concatenate([[0], np.cumsum(np.fromiter(map(len, low), np.int64, len(low)))])
+    codes = np.frombuffer("".join(low).encode("utf-32-le", "surrogatepass"), np.uint32).copy()
+    codes[(codes >= 9) & (codes <= 13)] = 32
+    return offsets, codes
 
 
 def features(offsets: np.ndarray, data: np.ndarray, wanted: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """(text, feature) pairs, each once, ordered by text. wanted: only features for which it is true."""
-    s = shared.prefix_hash(data, _VALUES)
+    """(text, feature) pairs of texts in code points, each once, ordered by text. wanted: only features for which it is true."""
+    s = shared.prefix_hash(data, char_values())
     inverse = shared.powers(len(s), inverse=True)
     length = np.diff(offsets)
     text = np.repeat(np.arange(len(length), dtype=np.int64), length)
@@ -79,13 +94,13 @@ class Model:
     def __setstate__(self, state):
         self.__init__(*state)
 
-    def score(self, offsets: np.ndarray, data: np.ndarray) -> np.ndarray:
+    def score(self, texts: pa.Array) -> np.ndarray:
         if self._table is None:
             self._table = np.zeros(_SPACE, np.float32)
             self._table[self.index] = self.weight
             self._wanted = self._table != 0
-        text, feature = features(offsets, data, self._wanted)
-        z = np.bincount(text, self._table[feature], len(offsets) - 1) + self.bias
+        text, feature = features(*characters(texts), self._wanted)
+        z = np.bincount(text, self._table[feature], len(texts)) + self.bias
         return 1 / (1 + np.exp(-np.clip(z, -30, 30)))
 
 
@@ -127,7 +142,8 @@ def held_out() -> F.Column:
 def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLASS) -> Model:
     """Fit on at most rows_per_class labelled rows of each class, those of smallest hash of doc_id, so the
     sample is the same on every run. A doc_id with several labels counts as toxic if one says so. Features
-    are counted where the sample's texts lie; the driver gets the FEATURES best of them, and those of each row.
+    are counted where the sample's texts lie; the driver gets the FEATURES best of them, and those of each row,
+    of MOST_ENTRIES in all: rows beyond that, in the order of the hash, don't train.
     """
     if rows_per_class >= 1 << 16:
         raise ValueError("rows_per_class must be below 65536")
@@ -138,7 +154,8 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     sample = known.where("toxic = 1").orderBy(*by_hash).limit(rows_per_class).unionAll(known.where("toxic = 0").orderBy(*by_hash).limit(rows_per_class))
     # at most 2 * rows_per_class ids and labels are broadcast
     texts = shared.text_of(docs).join(F.broadcast(sample), "doc_id").withColumn("same", F.sha2("text", 256)).dropDuplicates(["same", "toxic"]).drop("same")
-    texts = shared.staged(texts, shared.shared_dir(spark), "sample")
+    folder = shared.shared_dir(spark)
+    texts = shared.staged(texts, folder, "sample")
     sizes = {r.toxic: r["count"] for r in texts.groupBy("toxic").count().collect()}
     n_toxic, n_clean = sizes.get(1, 0), sizes.get(0, 0)
     if not n_toxic or not n_clean:
@@ -147,7 +164,7 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros((2, _SPACE), np.uint16)  # a sample of a class has fewer rows than that holds
         for b in shared.pieces(batches, most=_CHUNK):
-            text, feature = features(*shared.bytes_of(b.column("text")))
+            text, feature = features(*characters(b.column("text")))
             toxic = b.column("toxic").to_numpy()[text]
             for k in (0, 1):
                 seen[k] += np.bincount(feature[toxic == k], minlength=_SPACE).astype(np.uint16)
@@ -176,11 +193,20 @@ def train(docs: DataFrame, labels: DataFrame, rows_per_class: int = ROWS_PER_CLA
         wanted = np.zeros(_SPACE, bool)
         wanted[index] = True
         for b in shared.pieces(batches, most=_CHUNK):
-            text, feature = features(*shared.bytes_of(b.column("text")), wanted)
+            text, feature = features(*characters(b.column("text")), wanted)
             cut = np.searchsorted(text, np.arange(1, b.num_rows))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("toxic"), pa.array([x.astype(np.int32).tobytes() for x in np.split(feature, cut)], pa.binary())], ["doc_id", "toxic", "features"])
 
-    got = texts.mapInArrow(own, "doc_id long, toxic int, features binary").collect()
+    found = texts.mapInArrow(own, "doc_id long, toxic int, features binary").withColumn("hash", F.xxhash64("doc_id"))
+    found = shared.staged(found, folder, "features")
+    # rows in the order in which the sample was taken, as long as their features keep the bound
+    sizes = sorted((r.hash, r.doc_id, r.n) for r in found.select("hash", "doc_id", (F.length("features") / 4).cast("long").alias("n")).collect())
+    room = np.searchsorted(np.cumsum([n for _, _, n in sizes]), MOST_ENTRIES, "right")
+    if room < len(sizes):
+        found = found.where(F.col("hash") < sizes[room][0])
+    got = found.collect()
+    if len({r.toxic for r in got}) < 2:
+        raise ValueError("MOST_ENTRIES leaves rows of one class alone")
     return fit([(r.toxic, np.frombuffer(r.features, np.int32)) for r in sorted(got, key=lambda r: (r.doc_id, r.toxic))], index, ratio)
 
 
@@ -193,7 +219,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in shared.pieces(batches, most=_CHUNK):
-            s = model.score(*shared.bytes_of(b.column("text")))
+            s = model.score(b.column("text"))
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("held_out"), pa.array(s), pa.array((s >= 0.5).astype(np.int32))], ["doc_id", "held_out", "score", "predicted"])
 
     return shared.text_of(docs).withColumn("held_out", held_out()).mapInArrow(run, "doc_id long, held_out boolean, score double, predicted int")
@@ -205,6 +231,6 @@ def keep_clean(docs: DataFrame, model: Model) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in shared.pieces(batches, most=_CHUNK):
-            yield b.filter(pa.array(model.score(*shared.bytes_of(b.column("text"))) < 0.5))
+            yield b.filter(pa.array(model.score(b.column("text")) < 0.5))
 
     return docs.mapInArrow(run, docs.schema)

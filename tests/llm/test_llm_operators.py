@@ -2,6 +2,7 @@
 
 import base64
 import collections
+import re
 import zlib
 
 import numpy as np
@@ -198,9 +199,48 @@ def test_pii(documents, spark):
 def test_pii_learns():
     # pattern and context agree; the gazetteer votes at random
     counts = [(3, "1,1,1,1", 40), (3, "1,-1,1,1", 40), (3, "-1,1,-1,0", 50), (3, "-1,-1,-1,0", 50), (3, "1,1,0,1", 10)]
-    model = pii.learn(counts)
-    assert model.accepted[3, "1,1,1,1"] > 0.5 > model.accepted[3, "-1,-1,-1,0"]
-    assert model.reliability[3, 0] > model.reliability[3, 1]
+    soft, reliability = pii.label(counts)
+    assert soft[3, "1,1,1,1"] > 0.5 > soft[3, "-1,-1,-1,0"]
+    assert reliability[3, 0] > reliability[3, 1]
+    weights = pii.fit([(3, "1,2,0,6,1,3", 50, 48.0), (3, "1,2,0,2,2,3", 50, 3.0)])
+    model = pii.Classifier(weights, soft, reliability)
+    assert model.probability(3, "1,2,0,6,1,3") > 0.5 > model.probability(3, "1,2,0,2,2,3")
+
+
+def loose_cases(n=600):
+    """Texts with one loose candidate each, and whether it is personal data."""
+    rng = np.random.default_rng(12)
+    out = []
+    for i in range(n):
+        a, b, c = rng.integers(200, 999), rng.integers(200, 999), rng.integers(1000, 9999)
+        d = "".join(map(str, rng.integers(0, 10, 7)))
+        name, host = ("".join(map(chr, rng.integers(97, 123, 6))) for _ in range(2))
+        lead = rng.choice(["", "please ", "or ", "then "])
+        out.append((
+            (f"{lead}call ({a}) {b}-{c} today", True), (f"{lead}phone: ({a}) {b}-{c}", True), (f"{lead}reach us at ({a}) {b}-{c}", True), (f"{lead}invoice no. 0{d[:2]}-{b}-{c} was paid", False), (f"{lead}order 1{d[:2]}.{b}.{c}", False),
+            (f"{lead}write to {name} [at] {host} [dot] com", True), (f"{lead}mail {name}(at){host}(dot)org now", True), (f"{lead}part 0{d[:2]} {b} {c} in the list", False),
+        )[i % 8])
+    return out
+
+
+def test_pii_added_spans(spark):
+    """Precision and recall of the spans that the classifier adds to the base."""
+    cases = loose_cases()
+    df = spark.createDataFrame([(i, t) for i, (t, _) in enumerate(cases)], "doc_id long, text string")
+    got = {r.doc_id: r.spans != "" for r in pii.report(df).collect()}
+    hit = sum(got[i] and y for i, (_, y) in enumerate(cases))
+    precision, recall = hit / sum(got.values()), hit / sum(y for _, y in cases)
+    print("precision", precision, "recall", recall)
+    assert precision >= 0.95 and recall >= 0.95
+
+
+def test_redact_long(spark):
+    """Very many spans, in a text of several pieces."""
+    text = "".join(f"é{i} 😀 a{i}@b.co, " + "x" * (i % 90) for i in range(3000))
+    rows = [(1, text, len(text)), (2, "+1 386 555 3733@a.b", 19), (3, "4111 1111 1111 1111@x.org 1.2.3.4", 33)]
+    got = {r.doc_id: r.text for r in pii.redact(spark.createDataFrame(rows, "doc_id long, text string, n_chars long")).collect()}
+    # spans that overlap are one, named after the first
+    assert got == {1: re.sub(r"a\d+@b\.co", "<EMAIL>", text), 2: "<PHONE>", 3: "<CARD> <IP>"}
 
 
 def test_redact(edge, spark):
@@ -464,6 +504,63 @@ def test_toxicity(spark):
     assert np.array_equal(model.weight, again.weight)
 
 
+def test_toxicity_plainly(spark, documents, data):
+    """Features, ratios, choice of features and scores against a plain version, on texts with accents."""
+    labels = {r.doc_id: r.toxic for r in spark.read.parquet(f"{data}/labels.parquet").collect()}
+    texts = texts_of(documents)
+    wide = toxicity.characters(pa.array(["ÉA\tb", "", "né"]))
+    assert wide[0].tolist() == [0, 4, 4, 6] and wide[1].tolist() == [233, 97, 32, 98, 110, 233]
+
+    def counted(text):
+        low = re.sub("[\t\n\v\f\r]", " ", text.lower())
+        n = collections.Counter()
+        for size in toxicity.GRAMS:
+            for i in range(len(low) - size + 1):
+                h = sum(int(toxicity.char_values()[ord(c)]) * pow(shared._P, k, 1 << 64) for k, c in enumerate(low[i : i + size]))
+                n[h * (0xD6E8FEB86659FD93 + 2 * size) % (1 << 64) >> 64 - toxicity.BITS] += 1
+        return {(k << toxicity.BITS) + g for g, c in n.items() for k in range(min(c, toxicity.TIMES))}
+
+    train = {i: y for i, y in labels.items() if zlib.crc32(str(i).encode()) % 5 and i in texts}
+    seen, own = set(), {}
+    for i in sorted(train):
+        if (texts[i], train[i]) not in seen:
+            seen.add((texts[i], train[i]))
+            own[i] = counted(texts[i])
+    n = collections.Counter(train[i] for i in own)
+    count = {y: collections.Counter(f for i in own if train[i] == y for f in own[i]) for y in (0, 1)}
+    ratio, sure = {}, {}
+    for f in count[0] | count[1]:
+        t, c = count[1][f], count[0][f]
+        ratio[f] = np.log((t + 1) / (n[1] + 2)) - np.log((c + 1) / (n[0] + 2))
+        sure[f] = abs(ratio[f]) / np.sqrt(1 / (t + 1) + 1 / (c + 1))
+    model = toxicity.train(documents, spark.read.parquet(f"{data}/labels.parquet"))
+    able = [f for f in ratio if sure[f] >= 2 and count[0][f] + count[1][f] > 1]
+    want = sorted(sorted(able, key=lambda f: (-sure[f], f))[: toxicity.FEATURES])
+    assert model.index.tolist() == want
+    weight = dict(zip(want, model.weight.tolist(), strict=True))
+    # a logistic regression on the ratios: a step of plain descent from its weights leaves the loss where it is
+    w = {f: x / ratio[f] for f, x in weight.items()}
+    rows = [(train[i], [f for f in fs if f in w]) for i, fs in own.items()]
+
+    def loss(w, bias):
+        z = [bias + sum(w[f] * ratio[f] for f in fs) for _, fs in rows]
+        return sum(np.log1p(np.exp(-x if y else x)) * 0.5 / n[y] for (y, _), x in zip(rows, z, strict=True)) + 0.0005 * sum(x * x for x in w.values())
+
+    assert loss(w, model.bias) < loss(dict.fromkeys(w, 0.0), 0.0) / 5
+    got = {r.doc_id: r.score for r in toxicity.score(documents, model).collect()}
+    for i in sorted(texts)[:60]:
+        z = model.bias + sum(weight.get(f, 0.0) for f in counted(texts[i]))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-np.clip(z, -30, 30))), abs=1e-4)
+
+
+def test_toxicity_bound(spark, monkeypatch):
+    monkeypatch.setattr(toxicity, "MOST_ENTRIES", 500)
+    rows = [(i, ("scum trash " if i % 4 == 0 else "kind words ") * 3 + f"number {i * 7919}", int(i % 4 == 0)) for i in range(400)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, toxic int")
+    model = toxicity.train(df.select("doc_id", "text"), df.select("doc_id", "toxic"))
+    assert all((r.predicted == 1) == (r.doc_id % 4 == 0) for r in toxicity.score(df, model).collect())
+
+
 def test_toxicity_edges(edge, nothing, spark):
     labels = spark.createDataFrame([(4, 0, 0), (12, 0, 1), (11, 0, 0), (None, 0, 1), (7, 0, None)], "doc_id long, quality int, toxic int")
     model = toxicity.train(edge, labels)
