@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, exact_dedup, fingerprint, minhash, packing, pii, sharding, suffix, toxicity, url_filter
+from . import bpe, exact_dedup, fingerprint, minhash, packing, pii, pipeline, sharding, suffix, toxicity, url_filter
 from .shared import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -160,8 +160,4 @@ def op8_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.substring_dedup(table(spark, sf_dir, "documents"), keep=False)
 
 
-@query("pipeline")
-def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import corpus_pipeline
-
-    return corpus_pipeline.run(spark, sf_dir)
+query("pipeline", pipeline.ORACLE_SQL)(pipeline.run)
