@@ -17,15 +17,16 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import graph, shared
 
 PERMUTATIONS, BANDS = 128, 32
 WORDS = 5
-#: A chunk of a family: so many shingles or sets. A block of what its chunks leave open; a task compares two.
-CHUNK_SHINGLES, CHUNK_SETS, BLOCK_SHINGLES = 1 << 17, 128, 1 << 18
+#: A chunk of a family: so many shingles or sets. A block of what its chunks leave open: so many shingles at most; a
+#: task compares two. What could fill a chunk is spread over at least so many blocks.
+CHUNK_SHINGLES, CHUNK_SETS, BLOCK_SHINGLES, SPREAD = 1 << 17, 128, 1 << 20, 6
 
 _U = np.uint64
 _seed = shared.mix(np.arange(1, 2 * PERMUTATIONS + 1, dtype=_U) * _U(0x9E6C63D0876A9A47))
@@ -234,41 +235,44 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([*(b.column(c) for c in ("family", "chunks", "chunk", "node")), found], ["family", "chunks", "chunk", "node", "shingles"])
 
 
-def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """A row for each shingle of a set; mark tells the sets of one node apart."""
+def _prefixes(batches: Iterator[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
+    """The smallest shingles of a set, so many that every set linked with it has one of them among its own.
+
+    x and y can only be linked if they share percent of the larger one's shingles, and 2 percent / (100 + percent)
+    of the smaller one's: short marks those that do for a partner of the same size or a larger one."""
     for b in shared.pieces(batches, "shingles"):
         sets = [np.frombuffer(s.as_py(), np.int64).reshape(2, -1) for s in b.column("shingles")]
-        n = [x.shape[1] for x in sets]
+        size = np.array([x.shape[1] for x in sets])
+        n = size + (-percent * size // 100) + 1
+        short = size + (-2 * percent * size // (100 + percent)) + 1
         kept = [pa.array(np.repeat(b.column(c).to_numpy(), n)) for c in ("family", "node", "comp")]
-        marks = pa.array(np.repeat([x.sum() for x in sets], n))
-        yield pa.RecordBatch.from_arrays([*kept, marks, pa.array(np.repeat(n, n)), pa.array(np.concatenate([x[0] for x in sets])), pa.array(np.concatenate([x[1] for x in sets]))], ["family", "node", "comp", "mark", "size", "low", "high"])
+        place = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        halves = [pa.array(np.concatenate([x[h, :k] for x, k in zip(sets, n.tolist(), strict=True)])) for h in (0, 1)]
+        yield pa.RecordBatch.from_arrays([*kept, pa.array(place < np.repeat(short, n)), *halves], ["family", "node", "comp", "short", "low", "high"])
 
 
 def _across(sets: DataFrame, found: DataFrame, percent: int, folder: str) -> DataFrame:
     """Links (a, b) between sets of one family that met in no chunk and aren't known to hang together.
 
-    By the prefix filter: of a set's shingles, the rarest of the family first, so many count that a linked
-    set must have one of them among its own. Sets of two components that share such a shingle, and what
-    hangs together that way, are compared in full: at once, or block by block where they fill several.
+    By the prefix filter, sets of two components that share a shingle of their prefixes, and what hangs
+    together that way, are compared in full, block by block where they fill several.
     """
     key = ["family", "low", "high"]
-    rest = sets.join(found.select("node", "comp"), "node").select("family", "node", "comp", "shingles")
-    each = shared.staged(rest.mapInArrow(_each, "family long, node long, comp long, mark long, size long, low long, high long"), folder, "each")
-    seen = shared.staged(each.groupBy(*key).agg(F.count("*").alias("n")), folder, "seen")
-    order = Window.partitionBy("node", "size", "mark").orderBy("n", "low", "high")
-    prefix = each.join(seen, key).withColumn("k", F.row_number().over(order)).where(F.col("k") <= F.col("size") - F.ceil(F.col("size") * percent / 100) + 1)
-    prefix = shared.staged(prefix.select(*key, "node", "comp"), folder, "prefix")
-    met = prefix.groupBy(*key).agg(F.min("node").alias("first"), F.min("comp").alias("least"), F.max("comp").alias("most")).where("least < most")
-    met = shared.staged(met.select(*key, "first"), folder, "met")
+    rest = shared.staged(sets.join(found.select("node", "comp"), "node").select("family", "node", "comp", "shingles"), folder, "rest")
+    prefix = rest.mapInArrow(lambda it: _prefixes(it, percent), "family long, node long, comp long, short boolean, low long, high long")
+    prefix = shared.staged(prefix, folder, "prefix")
+    met = prefix.groupBy(*key).agg(F.min("node").alias("first"), F.min("comp").alias("least"), F.max("comp").alias("most"), F.max("short").alias("short"))
+    met = shared.staged(met.where("least < most AND short").select(*key, "first"), folder, "met")
     kin = graph.components(prefix.join(met, key).select(F.col("node").alias("a"), F.col("first").alias("b")), folder, "kin")
     rest = rest.select("node", "shingles").join(kin.withColumnRenamed("comp", "family"), "node")
-    total = rest.groupBy("family").agg(F.ceil(F.sum(F.length("shingles")) / (16 * BLOCK_SHINGLES)).cast("int").alias("blocks"))
-    total = shared.staged(total, folder, "kin-sizes")
+    size = F.sum(F.length("shingles")) / 16
+    blocks = F.greatest(F.ceil(size / BLOCK_SHINGLES), F.least(F.ceil(size / CHUNK_SHINGLES * 2), F.lit(SPREAD)))
+    total = shared.staged(rest.groupBy("family").agg(blocks.cast("int").alias("blocks")), folder, "kin-sizes")
     rest = rest.join(total, "family").withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     others = F.filter(F.sequence(F.lit(0), F.col("blocks") - 1), lambda j: (j != F.col("block")) | (F.col("blocks") == 1))
     tasks = rest.withColumn("other", F.explode(others)).withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")})
     out = shared.staged(_confirmed(tasks, percent).select(F.col("node").alias("a"), F.col("comp").alias("b")), folder, "across")
-    for name in ("each", "seen", "prefix", "met", "kin-sizes"):
+    for name in ("rest", "prefix", "met", "kin-sizes"):
         shared.unstage(sets.sparkSession, folder, name)
     return out
 
