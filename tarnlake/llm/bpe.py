@@ -58,16 +58,16 @@ SELECT k, coalesce(min(rank), 65536) AS rank, coalesce(min(lb), 65536) AS lb, co
 """
 
 # 65536 stands for no merge; x, a, t, c, d, e are the tokens from two before a pair (t, c) to two after it, q its
-# right half's place
+# right half's place. Words stand one after the other with a null token after each, which no pair reaches across.
 _ENCODE = """
 WITH RECURSIVE state(step, w, p, t) AS (
     SELECT 0, w, p, t FROM fresh
     UNION ALL
     (WITH beside AS (
         SELECT step, w, p, t, lead(p) OVER o AS q, lead(t) OVER o AS c, lead(t, 2) OVER o AS d, lead(t, 3) OVER o AS e, lag(t) OVER o AS a, lag(t, 2) OVER o AS x
-        FROM state WINDOW o AS (PARTITION BY w ORDER BY p)),
+        FROM state WINDOW o AS (ORDER BY p)),
      found AS (
-        SELECT w, p, q, m.rank, a, t, c, d, e, x FROM beside JOIN pairs m ON m.k = t::BIGINT * 65536 + c WHERE m.rank < 65536),
+        SELECT w, p, q, rank, a, t, c, d, e, x FROM beside JOIN merges ON l = t AND r = c),
      held AS (
         SELECT w, p, q, f.rank,
                least(coalesce(ab.rank, 65536), greatest(coalesce(ab.lb, 65536), coalesce(xa.lb, 65536))) AS on_left,
@@ -79,19 +79,18 @@ WITH RECURSIVE state(step, w, p, t) AS (
         FROM held h LEFT JOIN pairs l ON l.k = a::BIGINT * 65536 + h.rank LEFT JOIN pairs r ON r.k = h.rank::BIGINT * 65536 + d
         WHERE h.rank <= on_left AND h.rank <= on_right AND coalesce(l.lb > h.rank, true) AND coalesce(r.rb > h.rank, true)),
      placed AS (
-        SELECT *, row_number() OVER o AS i, coalesce(lag(q) OVER o <> p, true) AS opens FROM sure WINDOW o AS (PARTITION BY w ORDER BY p)),
+        SELECT *, row_number() OVER o AS i, coalesce(lag(q) OVER o <> p, true) AS opens FROM sure WINDOW o AS (ORDER BY p)),
      runs AS (
-        SELECT *, max(CASE WHEN opens THEN 2 * i + (NOT first)::INT END) OVER (PARTITION BY w ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM placed),
+        SELECT *, max(CASE WHEN opens THEN 2 * i + (NOT first)::INT END) OVER (ORDER BY p ROWS UNBOUNDED PRECEDING) AS run FROM placed),
      sound AS (SELECT w, p, q, rank FROM runs WHERE run % 2 = 0 AND (i - run // 2) % 2 = 0),
-     least AS (SELECT w, min(rank::BIGINT << 32 | p) AS k FROM found WHERE w NOT IN (SELECT w FROM sound) GROUP BY w),
-     merges AS (SELECT * FROM sound UNION ALL SELECT f.w, f.p, f.q, f.rank FROM found f JOIN least ON f.w = least.w AND f.p = k & 4294967295)
+     least AS (SELECT w, min(rank::BIGINT << 32 | p) AS k FROM (SELECT * FROM found ANTI JOIN sound USING (w)) GROUP BY w),
+     merging AS (SELECT * FROM sound UNION ALL SELECT f.w, f.p, f.q, f.rank FROM found f JOIN least ON f.w = least.w AND f.p = k & 4294967295)
      SELECT step + 1, s.w, s.p, coalesce(m.rank, s.t)
-     FROM state s LEFT JOIN merges m ON s.p = m.p
-     WHERE s.w IN (SELECT w FROM merges) AND s.p NOT IN (SELECT q FROM merges))
+     FROM (SELECT * FROM state SEMI JOIN (SELECT DISTINCT w FROM merging) USING (w)) s LEFT JOIN merging m ON s.p = m.p ANTI JOIN (SELECT q FROM merging) gone ON s.p = gone.q)
 ),
-final AS (SELECT w, max(step) AS step FROM state GROUP BY w)
-SELECT w, string_agg(t::VARCHAR, ',' ORDER BY p) || ',' AS ids, string_agg(hex, '' ORDER BY p) AS hex
-FROM state JOIN final USING (w, step) JOIN vocabulary USING (t) GROUP BY w
+final AS (SELECT w, max(step) AS step FROM state GROUP BY w),
+each AS (SELECT w, list({'t': t, 'hex': hex} ORDER BY p) AS o FROM state JOIN final USING (w, step) JOIN vocabulary USING (t) GROUP BY w)
+SELECT w, array_to_string(list_transform(o, lambda z: z.t), ',') || ',' AS ids, array_to_string(list_transform(o, lambda z: z.hex), '') AS hex FROM each
 """
 
 
@@ -158,8 +157,11 @@ class Encoder:
         words.sort(key=len)
         for part in _parts(words):
             length = np.fromiter(map(len, part), np.int64, len(part))
-            t = self.byte[np.frombuffer(b"".join(part), np.uint8)]
-            self._table("fresh", {"w": np.repeat(np.arange(len(part), dtype=np.int32), length), "p": np.arange(len(t), dtype=np.int32), "t": t})
+            end = np.zeros(length.sum() + len(part), bool)
+            end[np.cumsum(length + 1) - 1] = True
+            t = np.zeros(len(end), np.int32)
+            t[~end] = self.byte[np.frombuffer(b"".join(part), np.uint8)]
+            self._table("fresh", {"w": np.repeat(np.arange(len(part), dtype=np.int32), length + 1), "p": np.arange(len(end), dtype=np.int32), "t": pa.array(t, mask=end)})
             for i, ids, text in self.db.execute(_ENCODE).fetchall():
                 self.words[part[i]] = ids, bytes.fromhex(text)
 
