@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+import numpy as np
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
@@ -47,3 +48,34 @@ def visible(now: Column, agent=None, user=None, task=None, shared: bool = False,
 def visible_fact(now: Column, agent=None, user=None, task=None, shared: bool = False) -> Column:
     """For facts joined to their memory, whose columns carry the prefix m_: the parent is visible and the fact active."""
     return visible(now, agent, user, task, shared, "m_") & F.col("active_until").isNull()
+
+
+#: The columns in which a query may say who asks (null or missing: open) and a row whose it is.
+QUERY = ("query_agent", "query_user", "query_task", "query_shared")
+ROW = ("agent_id", "user_id", "task_id", "shared")
+
+
+def asks(queries: DataFrame) -> list[str]:
+    """The scope columns that the queries have."""
+    return [c for c in QUERY if c in queries.columns]
+
+
+def in_scope(given: list[str]) -> Column:
+    """Whether a query's scope columns, of those given, let it see a row: as visible(), with a scope by row."""
+    agent, user, task = (F.col(c) if c in given else F.lit(None) for c in QUERY[:3])
+    shared = F.coalesce(F.col("query_shared"), F.lit(False)) if "query_shared" in given else F.lit(False)
+    a, u, t = (F.coalesce(x == F.col(c), F.lit(False)) for x, c in zip((agent, user, task), ROW[:3], strict=True))
+    own = F.when(agent.isNotNull() & user.isNotNull(), a & u).when(agent.isNotNull(), a).when(user.isNotNull(), u).otherwise(False)
+    lent = F.coalesce(F.col("shared"), F.lit(False)) & ((shared & u) | t | (shared & user.isNull() & task.isNull()))
+    free = agent.isNull() & user.isNull() & task.isNull() & ~shared
+    return own | lent | free
+
+
+def mask(scope: dict[str, np.ndarray], rows: dict[str, np.ndarray]) -> np.ndarray:
+    """in_scope for every row with every query. scope: by query, objects with None where open; rows: likewise."""
+    given = {c: np.array([x is not None for x in scope[c]]) for c in QUERY[:3]}
+    a, u, t = (np.equal(rows[r][:, None], scope[q][None, :]).astype(bool) & given[q] for q, r in zip(QUERY[:3], ROW[:3], strict=True))
+    ha, hu, ht = (given[c] for c in QUERY[:3])
+    flag = scope["query_shared"].astype(bool)
+    lent = rows["shared"].astype(bool)[:, None] & ((flag & u) | t | (flag & ~hu & ~ht))
+    return np.where(ha & hu, a & u, np.where(ha, a, u)) | lent | ~(ha | hu | ht | flag)

@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fixed, text, vector
+from ..functions import fixed, scope, text, vector
 
 #: Queries that one pass over the rows may carry; more take further passes.
 QUERY_BLOCK = 2048
@@ -22,17 +22,20 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, least: float | None = None,
     any number: each partition multiplies its vectors with the block's matrix and sends on its own k best
     of each query, so that the shuffle holds at most k rows for each query and partition. Ties go to the
     smaller id. least: similarities below it don't count. other: a row is no answer to a query of its id; older: nor is one of a larger id.
+    Where the queries have columns of a scope, rows need theirs, and a query finds only what it may see.
     """
-    given = queries.where("query_embedding IS NOT NULL").select(F.col("query_id").cast("long"), "query_embedding").orderBy("query_id").collect()
+    asks = scope.asks(queries)
+    given = queries.where("query_embedding IS NOT NULL").select(F.col("query_id").cast("long"), "query_embedding", *asks).orderBy("query_id").collect()
     spark, found = rows.sparkSession, None
     for at in range(0, len(given), QUERY_BLOCK):
         block = given[at : at + QUERY_BLOCK]
         ids = np.array([r.query_id for r in block], np.int64)
         matrix = _unit(np.array([r.query_embedding for r in block], np.float64))
+        who = _who(block, asks)
 
-        def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix) -> Iterator[pa.RecordBatch]:
+        def run(batches: Iterator[pa.RecordBatch], ids=ids, matrix=matrix, who=who) -> Iterator[pa.RecordBatch]:
             best: tuple[np.ndarray, ...] | None = None
-            for b in batches:
+            for b in _short(batches, len(ids)):
                 v = b.column("embedding")
                 flat = v.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
                 own = b.column("id").to_numpy()
@@ -45,6 +48,11 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, least: float | None = None,
                     sims[own[:, None] >= ids[None, :]] = -np.inf
                 if least is not None:
                     sims[sims < least] = -np.inf
+                if asks:
+                    sims[~scope.mask(who, _whose(b))] = -np.inf
+                sims[np.isnan(sims)] = -np.inf
+                if len(own) > k:  # what is below a query's k-th best here can't be among its k best
+                    sims[sims < np.partition(sims, len(own) - k, axis=0)[len(own) - k]] = -np.inf
                 r, q = np.nonzero(np.isfinite(sims))
                 cols = (ids[q], own[r], sims[r, q])
                 best = _best(cols if best is None else tuple(map(np.concatenate, zip(best, cols, strict=True))), k)
@@ -52,13 +60,50 @@ def knn(queries: DataFrame, rows: DataFrame, k: int, least: float | None = None,
                 yield pa.RecordBatch.from_arrays([pa.array(c) for c in best], ["query_id", "id", "similarity"])
 
         size = matrix.shape[1]
-        near = rows.where(F.size("embedding") == size).select(F.col("id").cast("long").alias("id"), "embedding").mapInArrow(run, "query_id long, id long, similarity double")
+        near = rows.where(F.size("embedding") == size).select(F.col("id").cast("long").alias("id"), "embedding", *(scope.ROW if asks else ())).mapInArrow(run, "query_id long, id long, similarity double")
         found = near if found is None else found.unionAll(near)
     if found is None:
         found = spark.createDataFrame([], "query_id long, id long, similarity double")
     return top(found, k, F.desc("similarity"))
 
 
+#: Similarities that a worker holds at a time.
+MOST_CELLS = 1 << 21
+
+
+def _short(batches: Iterator[pa.RecordBatch], queries: int) -> Iterator[pa.RecordBatch]:
+    """Slices of the batches of so many rows that MOST_CELLS holds their similarities to the queries."""
+    step = max(1, MOST_CELLS // max(1, queries))
+    for b in batches:
+        for at in range(0, b.num_rows, step):
+            yield b.slice(at, step)
+
+
+def _who(block: list, asks: list[str]) -> dict[str, np.ndarray]:
+    return {c: np.array([r[c] if c in asks else None for r in block], object) for c in scope.QUERY}
+
+
+def _whose(b: pa.RecordBatch) -> dict[str, np.ndarray]:
+    return {c: np.array(b.column(c).to_pylist(), object) for c in scope.ROW}
+
+
+def seeing(queries: DataFrame, rows: DataFrame) -> DataFrame:
+    """query_id of the queries that may see some row; without a scope all or none. Rows stay where they are."""
+    asks = scope.asks(queries)
+    if not asks:
+        return queries.select("query_id").where(F.lit(not rows.isEmpty()))
+    given = queries.select(F.col("query_id").cast("long"), *asks).orderBy("query_id").collect()
+    ids, who = np.array([r.query_id for r in given], np.int64), _who(given, asks)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen = np.zeros(len(ids), bool)
+        for b in _short(batches, len(ids)):
+            seen |= scope.mask(who, _whose(b)).any(axis=0)
+        yield pa.RecordBatch.from_arrays([pa.array(ids[seen])], ["query_id"])
+
+    return rows.select(*scope.ROW).distinct().mapInArrow(run, "query_id long").distinct()
+
+
 def _unit(m: np.ndarray) -> np.ndarray:
     n = np.linalg.norm(m, axis=1, keepdims=True)
     return np.divide(m, n, out=np.full_like(m, np.nan), where=n > 0)
@@ -88,24 +133,27 @@ def keyword_search(queries: DataFrame, rows: DataFrame, k: int, column: str = "c
 
     The queries' lexemes meet the rows' postings in an equi-join; only lexemes that some query asks for
     leave the rows. The score is the mean over the query's lexemes of 1 + ln(count), over 1 + ln(words).
+    Where the queries have columns of a scope, rows need theirs, and a query finds only what it may see.
     """
-    asked = queries.select("query_id", text.lexemes(F.col("query")).alias("_q")).select("query_id", F.size("_q").alias("_n"), F.explode("_q").alias("lexeme"))
-    return top(_matched(asked, postings(rows, column, asked)).where(F.col("_hit") == F.col("_n")).select("query_id", "id", "score"), k, F.desc("score"))
+    asks = scope.asks(queries)
+    asked = queries.select("query_id", text.lexemes(F.col("query")).alias("_q"), *asks).select("query_id", F.size("_q").alias("_n"), F.explode("_q").alias("lexeme"), *asks)
+    return top(_matched(asked, postings(rows, column, asked, scope.ROW if asks else ()), asks).where(F.col("_hit") == F.col("_n")).select("query_id", "id", "score"), k, F.desc("score"))
 
 
-def postings(rows: DataFrame, column: str = "content", asked: DataFrame | None = None) -> DataFrame:
-    """id, words (how many lexemes with repeats), lexeme, n; of the lexemes in asked alone, if given, before
-    anything is counted or moved."""
+def postings(rows: DataFrame, column: str = "content", asked: DataFrame | None = None, more: tuple[str, ...] = ()) -> DataFrame:
+    """id, words (how many lexemes with repeats), lexeme, n, and the columns of more; of the lexemes in asked
+    alone, if given, before anything is counted or moved."""
     all_ = text.tokens(F.col(column), 2, fixed.ENTITY_STOPWORDS)
-    each = rows.select("id", all_.alias("_all")).select("id", F.size("_all").alias("words"), F.explode("_all").alias("lexeme"))
+    each = rows.select("id", all_.alias("_all"), *more).select("id", F.size("_all").alias("words"), F.explode("_all").alias("lexeme"), *more)
     if asked is not None:
         each = each.join(asked.select("lexeme").distinct(), "lexeme", "left_semi")
-    return each.groupBy("id", "words", "lexeme").agg(F.count("*").alias("n"))
+    return each.groupBy("id", "words", "lexeme", *more).agg(F.count("*").alias("n"))
 
 
-def _matched(asked: DataFrame, post: DataFrame) -> DataFrame:
+def _matched(asked: DataFrame, post: DataFrame, asks: list[str]) -> DataFrame:
     weight = (F.lit(1.0) + F.log("n")) / (F.lit(1.0) + F.log("words"))
-    return post.join(asked, "lexeme").groupBy("query_id", "id", "_n").agg(F.count("*").alias("_hit"), F.round(F.sum(F.round(weight, 9)) / F.col("_n"), 6).alias("score"))
+    met = post.join(asked, "lexeme")
+    return (met.where(scope.in_scope(asks)) if asks else met).groupBy("query_id", "id", "_n").agg(F.count("*").alias("_hit"), F.round(F.sum(F.round(weight, 9)) / F.col("_n"), 6).alias("score"))
 
 
 def bm25(queries: DataFrame, rows: DataFrame, k: int, column: str = "content", k1: float = 1.2, b: float = 0.75) -> DataFrame:

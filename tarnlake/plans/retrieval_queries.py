@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions import fixed, text
+from ..functions import fixed, scope, text
 from ..functions.scope import alive, visible, visible_fact
 from ..operators import ranking, retrieval, state
 from ..sources import views
@@ -87,7 +87,7 @@ _SCOPED = f"""scoped AS (
 
 def scoped(spark: SparkSession, d: str, n: int = 20) -> DataFrame:
     """Each query with the rows of its user that it may see. The stated queries meet rows by user."""
-    q = views.query_batch(spark, d, n)
+    q = views.query_batch(spark, d, n, asker=True)
     m = views.memories(spark, d).where("embedding IS NOT NULL")
     rows = m.join(q, (F.col("user_id") == F.col("query_user")) & visible(views.now(), agent=F.col("query_agent"), user=F.col("query_user"), shared=True))
     return retrieval.similarity(rows)
@@ -126,7 +126,7 @@ def scoped_facts(spark: SparkSession, d: str, n: int = 20) -> DataFrame:
     """Each query with the active facts of its user's memories."""
     m = views.memories(spark, d, vectors=False, text=False)
     m = m.select(F.col("id").alias("memory_id"), *(F.col(c).alias(f"m_{c}") for c in ("agent_id", "user_id", "task_id", "shared", "expires_at", "invalid_at")))
-    q = views.query_batch(spark, d, n)
+    q = views.query_batch(spark, d, n, asker=True)
     f = views.facts(spark, d).where("embedding IS NOT NULL").join(m, "memory_id")
     rows = f.join(q, (F.col("m_user_id") == F.col("query_user")) & visible_fact(views.now(), user=F.col("query_user")))
     return retrieval.similarity(rows)
@@ -165,6 +165,51 @@ def keyword_match_topk(spark: SparkSession, d: str) -> DataFrame:
     return retrieval.keyword_search(short_queries(spark, d), views.memories(spark, d, vectors=False), 20)
 
 
+_MAY = "(agent_id = query_agent AND user_id = query_user OR user_id = query_user AND shared)"
+
+
+def asking(spark: SparkSession, d: str) -> DataFrame:
+    """Every question whose id is divisible by 50, of its first counted word, with its user and agent."""
+    with views.whole():
+        q = views.query_batch(spark, d, asker=True)
+    return q.withColumns({"query": F.get(text.tokens(F.col("query"), 2, fixed.ENTITY_STOPWORDS), F.lit(0)), "query_shared": F.lit(True)})
+
+
+_ASKING = views.queries_sql().replace("vec_id < 20", "vec_id % 50 = 0") + f", one AS (SELECT *, ({sql.tokens('query', 2, fixed.ENTITY_STOPWORDS)})[1] AS lexeme FROM queries)"
+
+
+def _scoped_search(rows: str) -> str:
+    return f"""found AS (SELECT query_id, id, round((1 + ln(count(*))) / (1 + ln(words)), 6) AS score FROM one JOIN (
+        SELECT id, agent_id, user_id, shared, len(all_) AS words, unnest(all_) AS lexeme FROM (SELECT id, agent_id, user_id, shared, {sql.tokens('content', 2, fixed.ENTITY_STOPWORDS)} AS all_ FROM {rows})) r
+        ON r.lexeme = one.lexeme AND {_MAY} GROUP BY query_id, id, words)
+    SELECT query_id, id, score, rank FROM (SELECT *, {_BY_SCORE} FROM found) WHERE rank <= 20"""
+
+
+@query("scoped_keyword_topk", f"WITH {views.MEMORIES}, {_ASKING}, live AS (SELECT * FROM memories WHERE {sql.alive()}), {_scoped_search('live')}")
+def scoped_keyword_topk(spark: SparkSession, d: str) -> DataFrame:
+    return retrieval.keyword_search(asking(spark, d), views.memories(spark, d, vectors=False).where(alive(views.now())), 20)
+
+
+@query(
+    "scoped_fact_keyword_topk",
+    f"""WITH {views.MEMORIES}, {views.FACTS}, {_ASKING}, live AS (SELECT f.id, m.agent_id, m.user_id, m.shared, f.fact AS content FROM facts f JOIN memories m ON m.id = f.memory_id
+        WHERE active_until IS NULL AND {sql.alive('m.')}), {_scoped_search('live')}""",
+)
+def scoped_fact_keyword_topk(spark: SparkSession, d: str) -> DataFrame:
+    m = views.memories(spark, d, vectors=False, text=False).where(alive(views.now())).select(F.col("id").alias("memory_id"), *scope.ROW)
+    return retrieval.keyword_search(asking(spark, d), views.facts(spark, d).where("active_until IS NULL").join(m, "memory_id"), 20, "fact")
+
+
+@query(
+    "scoped_knn_search",
+    f"""WITH {views.MEMORIES}, {views.queries_sql().replace("vec_id < 20", "vec_id % 50 = 0")}, found AS (SELECT query_id, id, {sql.cosine('m.embedding', 'query_embedding')} AS similarity
+        FROM queries JOIN memories m ON {_MAY} WHERE m.embedding IS NOT NULL AND {sql.alive()}) SELECT query_id, id, similarity, rank FROM (SELECT *, {_KNN} FROM found) WHERE rank <= 25""",
+)
+def scoped_knn_search(spark: SparkSession, d: str) -> DataFrame:
+    """The search of a recall: every question whose id is divisible by 50, each over what it may see."""
+    return retrieval.knn(asking(spark, d), views.memories(spark, d).where(alive(views.now())), 25)
+
+
 @query(
     "bm25_topk",
     f"""WITH {views.MEMORIES}, {_Q}, {_POSTINGS}, sizes AS (SELECT count(*) AS rows, avg(words) AS mean FROM (SELECT DISTINCT id, words FROM postings)),

@@ -95,12 +95,13 @@ def asked(key: str, n: int) -> Column:
     return F.col(key) % 50 == 0 if _whole.get() else F.col(key) < n
 
 
-def query_batch(spark: SparkSession, sf_dir: str, n: int = 20) -> DataFrame:
-    """A stated set of questions: the first n vectors, each with a benchmark text, a user and an agent."""
+def query_batch(spark: SparkSession, sf_dir: str, n: int = 20, asker: bool = False) -> DataFrame:
+    """A stated set of questions: the first n vectors, each with a benchmark text; with asker a user and an agent."""
     e = table(spark, sf_dir, "embeddings").where(asked("vec_id", n)).select(F.col("vec_id").alias("query_id"), F.col("embedding").alias("query_embedding"))
     b = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("query"))
     i = F.col("query_id")
-    return e.join(b, "query_id", "left").withColumns({"query_user": i % 20, "query_agent": i % 5})
+    q = e.join(b, "query_id", "left")
+    return q.withColumns({"query_user": i % 20, "query_agent": i % 5}) if asker else q
 
 
 def queries_sql(n: int = 20) -> str:

@@ -48,9 +48,9 @@ def test_graph_of_all_lines(spark, tmp_path):
     spark.createDataFrame(lines, "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int").write.parquet(f"{d}/lineitem.parquet")
     spark.createDataFrame([(50,), (8,), (9,)], "s_suppkey long").write.parquet(f"{d}/supplier.parquet")
     spark.createDataFrame([(7,), (3007,), (100,)], "o_orderkey long").write.parquet(f"{d}/orders.parquet")
-    assert {(r.start, r.node, r.hops) for r in QUERIES["graph_neighbours_2hop_whole"](spark, d).collect()} == {(101, 14, 1), (101, 17, 2)}
-    assert {(r.memory_id, r.entity_id) for r in QUERIES["entities_of_memories_whole"](spark, d).collect()} == {(100, 1)}
-    assert {(r.memory_id, r.other) for r in QUERIES["graph_neighbours_1hop_whole"](spark, d).collect()} == {(100, 7)}
+    assert {(r.start, r.node, r.hops) for r in QUERIES["graph_neighbours_2hop"](spark, d).collect()} == {(101, 14, 1), (101, 17, 2)}
+    assert {(r.memory_id, r.entity_id) for r in QUERIES["entities_of_memories"](spark, d).collect()} == {(100, 1)}
+    assert {(r.memory_id, r.other) for r in QUERIES["graph_neighbours_1hop"](spark, d).collect()} == {(100, 7)}
 
 
 def test_questions_of_all_ids(spark, data):
@@ -65,9 +65,9 @@ def test_words_past_a_prefix(spark, tmp_path):
     d = _documents(spark, tmp_path, {1: "alpha beta", 2: "alpha beta gamma", 3: "gamma"})
     spark.createDataFrame([(50, [1.0, 0.0], 0)], "vec_id long, embedding array<double>, label int").write.parquet(f"{d}/embeddings.parquet")
     spark.createDataFrame([(50, "alpha beta gamma")], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
-    assert [r.id for r in QUERIES["keyword_match_topk_whole"](spark, d).collect()] == [2]
-    assert {r.id for r in QUERIES["bm25_topk_whole"](spark, d).collect()} == {1, 2, 3}
+    assert [r.id for r in QUERIES["keyword_match_topk"](spark, d).collect()] == [2]
+    assert {r.id for r in QUERIES["bm25_topk"](spark, d).collect()} == {1, 2, 3}
     late = "Some words of no weight come first in both turns, then: "
     turns = [(1, 0, late + "service runs kubernetes cluster"), (1, 1, late + "service no longer runs kubernetes cluster")]
     spark.createDataFrame([(c, t, "user", x) for c, t, x in turns], "conv_id long, turn int, role string, text string").write.parquet(f"{d}/conversations.parquet")
-    assert [r.id for r in QUERIES["supersession_filter_whole"](spark, d).collect()] == [101]
+    assert [r.id for r in QUERIES["supersession_filter"](spark, d).collect()] == [101]
