@@ -56,7 +56,7 @@ def test_graph_of_all_lines(spark, tmp_path):
 def test_questions_of_all_ids(spark, data):
     due = {r.vec_id for r in spark.read.parquet(f"{data}/embeddings.parquet").where("vec_id % 50 = 0").collect()}
     assert len(due) > 1 and max(due) >= 120
-    for name in ("knn_topk_whole", "knn_batch_topk_whole", "precision_recall_mrr_whole", "fact_dedup_tiers_whole"):
+    for name in ("knn_topk", "knn_batch_topk", "precision_recall_mrr", "fact_dedup_tiers"):
         assert {r.query_id for r in QUERIES[name](spark, data).collect()} == due
     assert {r.query_id for r in QUERIES["recall_direct"](spark, data).collect()} == due
 
