@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from tarnlake.operators import arbitration
 from tarnlake.plans.registry import QUERIES
+from tarnlake.sources import views
 
 
 def test_near_copies_past_any_rank(spark):
@@ -58,7 +59,12 @@ def test_questions_of_all_ids(spark, data):
     assert len(due) > 1 and max(due) >= 120
     for name in ("knn_topk", "knn_batch_topk", "precision_recall_mrr", "fact_dedup_tiers"):
         assert {r.query_id for r in QUERIES[name](spark, data).collect()} == due
-    assert {r.query_id for r in QUERIES["recall_direct"](spark, data).collect()} == due
+    # recalls answer each question from what the one who asks may see
+    live = {r.id: r for r in views.memories(spark, data, vectors=False, text=False).where("(expires_at IS NULL OR expires_at > '2024-02-01') AND (invalid_at IS NULL OR invalid_at > '2024-02-01')").collect()}
+    of = {r.memory_id for r in views.facts(spark, data).where("active_until IS NULL").collect()} & set(live)
+    seeing = {q for q in due if any(live[i].user_id == q % 20 and (live[i].agent_id == q % 5 or live[i].shared) for i in of)}
+    assert {r.query_id for r in QUERIES["recall_direct"](spark, data).collect()} == seeing != set()
+    assert {r.query_id for r in QUERIES["recall_routed"](spark, data).collect()} == due
 
 
 def test_words_past_a_prefix(spark, tmp_path):
