@@ -54,30 +54,35 @@ WITH x AS (
     SELECT l::BIGINT * 65536 + r AS k, rank, rank AS lb, rank AS rb FROM merges
     UNION ALL SELECT tail::BIGINT * 65536 + r, NULL, rank, NULL FROM merges JOIN tails ON t = l
     UNION ALL SELECT l::BIGINT * 65536 + head, NULL, NULL, rank FROM merges JOIN heads ON t = r)
-SELECT k, coalesce(min(rank), 65536) AS rank, coalesce(min(lb), 65536) AS lb, coalesce(min(rb), 65536) AS rb FROM x GROUP BY k
+SELECT k, (coalesce(min(rank), 65536)::BIGINT << 34) + (coalesce(min(lb), 65536)::BIGINT << 17) + coalesce(min(rb), 65536) AS v FROM x GROUP BY k
 """
 
-# 65536 stands for no merge; x, a, t, c, d, e are the tokens from two before a pair (t, c) to two after it, q its
-# right half's place. Words stand one after the other with a null token after each, which no pair reaches across.
+# 65536 stands for no merge. The rank, lb and rb of a pair are 17 bits each of its v, 65536 three times where it has
+# none (1125908496842752): a position looks its own pair up, and a window gives it what those beside it found. x, a, t,
+# c, d, e are the tokens from two before a pair (t, c) to two after it, ab, xa, cd, de the v of those pairs, q its right
+# half's place. Words stand one after the other with a null token after each, which no pair reaches across.
 _ENCODE = """
 WITH RECURSIVE state(step, w, p, t) AS (
     SELECT 0, w, p, t FROM fresh
     UNION ALL
     (WITH beside AS (
-        SELECT step, w, p, t, lead(p) OVER o AS q, lead(t) OVER o AS c, lead(t, 2) OVER o AS d, lead(t, 3) OVER o AS e, lag(t) OVER o AS a, lag(t, 2) OVER o AS x
-        FROM state WINDOW o AS (ORDER BY p)),
-     found AS (
-        SELECT w, p, q, rank, a, t, c, d, e, x FROM beside JOIN merges ON l = t AND r = c),
+        SELECT step, w, p, t, lead(p) OVER o AS q, lead(t) OVER o AS c FROM state WINDOW o AS (ORDER BY p)),
+     known AS (
+        SELECT w, p, q, t, c, coalesce(v, 1125908496842752) AS v FROM beside LEFT JOIN pairs ON k = t::BIGINT * 65536 + c),
+     around AS (
+        SELECT w, p, q, (v >> 34)::INT AS rank, lag(t) OVER o AS a, lead(c) OVER o AS d,
+               coalesce(lag(v) OVER o, 1125908496842752) AS ab, coalesce(lag(v, 2) OVER o, 1125908496842752) AS xa,
+               coalesce(lead(v) OVER o, 1125908496842752) AS cd, coalesce(lead(v, 2) OVER o, 1125908496842752) AS de
+        FROM known WINDOW o AS (ORDER BY p)),
+     found AS (SELECT * FROM around WHERE rank < 65536),
      held AS (
-        SELECT w, p, q, f.rank,
-               least(coalesce(ab.rank, 65536), greatest(coalesce(ab.lb, 65536), coalesce(xa.lb, 65536))) AS on_left,
-               least(coalesce(cd.rank, 65536), greatest(coalesce(cd.rb, 65536), coalesce(de.rb, 65536))) AS on_right, a, d
-        FROM found f LEFT JOIN pairs ab ON ab.k = a::BIGINT * 65536 + t LEFT JOIN pairs cd ON cd.k = c::BIGINT * 65536 + d
-             LEFT JOIN pairs xa ON xa.k = x::BIGINT * 65536 + a LEFT JOIN pairs de ON de.k = d::BIGINT * 65536 + e),
+        SELECT w, p, q, rank, a, d, least(ab >> 34, greatest(ab >> 17 & 131071, xa >> 17 & 131071)) AS on_left,
+               least(cd >> 34, greatest(cd & 131071, de & 131071)) AS on_right
+        FROM found),
      sure AS (
         SELECT w, p, q, h.rank, h.rank < on_left AS first
         FROM held h LEFT JOIN pairs l ON l.k = a::BIGINT * 65536 + h.rank LEFT JOIN pairs r ON r.k = h.rank::BIGINT * 65536 + d
-        WHERE h.rank <= on_left AND h.rank <= on_right AND coalesce(l.lb > h.rank, true) AND coalesce(r.rb > h.rank, true)),
+        WHERE h.rank <= on_left AND h.rank <= on_right AND coalesce((l.v >> 17 & 131071) > h.rank, true) AND coalesce((r.v & 131071) > h.rank, true)),
      placed AS (
         SELECT *, row_number() OVER o AS i, coalesce(lag(q) OVER o <> p, true) AS opens FROM sure WINDOW o AS (ORDER BY p)),
      runs AS (
