@@ -7,8 +7,8 @@ anchor as one row. Rows with the same bytes, by two polynomials modulo a prime,
 the earliest repeat. Where an anchor stands in different bytes, those bytes go to a shard by anchor; a
 shard's suffix array is built by Larsson-Sadakane refinement, common prefixes by Kasai's sweep, and windows
 whose suffixes share 100 bytes repeat the earliest of them. Shards of one anchor are merged by binary
-search. Windows of an anchor with more different bytes than a task should hold are dealt out by their own
-bytes instead, and equal ones meet there.
+search. Windows of an anchor with more different bytes than a task should hold are dealt out one by one, by
+the two polynomials of their own bytes, and equal ones meet there; their bytes stay where they are.
 """
 
 from __future__ import annotations
@@ -330,25 +330,74 @@ def _stretches(doc: np.ndarray, window: np.ndarray) -> tuple[np.ndarray, np.ndar
 # ---- the operator ----
 
 
+_CUT = "kind int, anchor long, doc long, lo long, more long, raw binary"
+
+
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes of each wanted run of a text."""
+    """Kind 0: a window of a crowded run, its hash for an anchor. Kind 1: a stretch of those that repeat
+    windows of this task; it travels by its text. Kind 2: the bytes of a run of another anchor."""
+    held: list[list[np.ndarray]] = []
+
+    def batch(kind: int, anchor: np.ndarray, doc: np.ndarray, lo: np.ndarray, more: np.ndarray, raw: pa.Array) -> pa.RecordBatch:
+        columns = [pa.array(np.full(len(doc), kind, np.int32)), *(pa.array(c, pa.int64()) for c in (anchor, doc, lo, more)), raw]
+        return pa.RecordBatch.from_arrays(columns, ["kind", "anchor", "doc", "lo", "more", "raw"])
+
+    def combined() -> Iterator[pa.RecordBatch]:
+        window, doc, at = (np.concatenate(c) for c in zip(*held, strict=True))
+        held.clear()
+        order = np.lexsort((at, doc, window))
+        keep, repeat = _settle([c[order] for c in (window, window, doc, at)])
+        yield batch(0, *keep[1:], np.zeros(len(keep[0]), np.int64), pa.nulls(len(keep[0]), pa.binary()))
+        doc, lo, hi = _stretches(repeat[2], repeat[3])
+        if len(doc):
+            yield batch(1, shared.mix(doc.view(_U)).view(np.int64), doc, lo, hi - lo, pa.nulls(len(doc), pa.binary()))
+
     for b in shared.pieces(batches):
         offsets, data = shared.bytes_of(b.column("text"))
-        runs = b.column("runs")
-        out = []
-        for doc, a, e, own in zip(b.column("doc").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), runs.to_pylist(), strict=True):
+        out: tuple[list, list] = [], []
+        for doc, a, e, own in zip(b.column("doc").to_pylist(), offsets[:-1].tolist(), offsets[1:].tolist(), b.column("runs").to_pylist(), strict=True):
             raw = data[a:e].tobytes()
-            out += [(r["anchor"], doc, r["lo"], raw[r["lo"] : r["hi"] + LENGTH]) for r in own]
-        yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in out], t) for i, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.binary()))], ["anchor", "doc", "lo", "raw"])
+            for r in own:
+                out[r["crowded"]].append((r["anchor"], doc, r["lo"], raw[r["lo"] : r["hi"] + LENGTH]))
+        if out[0]:
+            anchor, doc, lo = (np.array([r[i] for r in out[0]], np.int64) for i in range(3))
+            yield batch(2, anchor, doc, lo, np.zeros(len(doc), np.int64), pa.array([r[3] for r in out[0]], pa.binary()))
+        if out[1]:
+            size = np.array([len(r[3]) for r in out[1]], np.int64)
+            n = size - LENGTH + 1
+            run = np.repeat(np.arange(len(n)), n)
+            shift = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
+            at = (np.cumsum(size) - size)[run] + shift
+            doc, lo = (np.array([r[i] for r in out[1]], np.int64)[run] for i in (1, 2))
+            held.append([shared.twin_hash(np.frombuffer(b"".join(r[3] for r in out[1]), np.uint8), at, at + LENGTH), doc, lo + shift])
+            if sum(len(c[0]) for c in held) >= COMBINE:
+                yield from combined()
+    if held:
+        yield from combined()
 
 
 def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Stream of _cut sorted by (kind, anchor, doc, lo): stretches that repeat. Between batches only the
+    earliest window of the last hash is held, and a shard."""
     shards, last = Shards(), None
+    head: list[np.ndarray] | None = None
 
     def batch(out: tuple[np.ndarray, np.ndarray, np.ndarray]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(c) for c in out], ["doc", "lo", "hi"])
 
     for b in batches:
+        kind = b.column("kind").to_numpy()
+        if (kind == 1).any():
+            doc, lo, more = (b.column(c).to_numpy()[kind == 1] for c in ("doc", "lo", "more"))
+            yield batch((doc, lo, lo + more))
+        if (kind == 0).any():
+            cols = [b.column(c).to_numpy()[kind == 0] for c in ("anchor", "anchor", "doc", "lo")]
+            if head is not None:
+                cols = [np.concatenate(c) for c in zip(head, cols, strict=True)]
+            first, repeat = _settle(cols)
+            yield batch(_stretches(repeat[2], repeat[3]))
+            head = [c[first[0] == first[0][-1]][:1] for c in first]
+        b = b.filter(pa.array(kind == 2))
         for anchor, doc, lo, raw in zip(*(b.column(c).to_pylist() for c in ("anchor", "doc", "lo", "raw")), strict=True):
             if shards.size >= SHARD_BYTES:
                 yield batch(shards.close(anchor == last))
@@ -357,19 +406,6 @@ def _repeats(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield batch(shards.close(False))
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Every window of a run, with its bytes."""
-    for b in shared.pieces(batches, "raw", shared.CHUNK_BYTES >> 5):
-        offsets, data = shared.bytes_of(b.column("raw"))
-        n = np.maximum(np.diff(offsets) - LENGTH + 1, 0)
-        run = np.repeat(np.arange(len(n)), n)
-        shift = np.arange(len(run)) - np.repeat(np.cumsum(n) - n, n)
-        at = offsets[run] + shift
-        raw = np.lib.stride_tricks.sliding_window_view(data, LENGTH)[at] if len(at) else np.zeros((0, LENGTH), np.uint8)
-        raw = pa.FixedSizeBinaryArray.from_buffers(pa.binary(LENGTH), len(at), [None, pa.py_buffer(np.ascontiguousarray(raw))]).cast(pa.binary())
-        yield pa.RecordBatch.from_arrays([raw, pa.array(b.column("doc").to_numpy()[run]), pa.array(b.column("lo").to_numpy()[run] + shift)], ["raw", "doc", "at"])
-
-
 def _remove(batches: Iterator[pa.RecordBatch], keep: bool) -> Iterator[pa.RecordBatch]:
     for b in shared.pieces(batches):
         offsets, data = shared.bytes_of(b.column("text"))
@@ -416,20 +452,14 @@ def substring_dedup(docs: DataFrame, keep: bool = True) -> DataFrame:
     sorted_out = shared.staged(met.mapInArrow(_sort_out, _ROW), folder, "anchors")
     repeats = sorted_out.where("kind = 1").select("doc", "lo", "hi")
 
-    wanted = sorted_out.where("kind = 2").groupBy("doc").agg(F.collect_list(F.struct("anchor", "lo", "hi")).alias("runs"))
-    cut = text.select("doc", "text").join(wanted, "doc").mapInArrow(_cut, "anchor long, doc long, lo long, raw binary")
-    crowded = sorted_out.where("kind = 2").groupBy("anchor").count().where(F.col("count") > MOST_ROWS).select("anchor")
-    crowded = shared.staged(crowded, folder, "crowded")
-    if not crowded.isEmpty():
-        cut = shared.staged(cut, folder, "runs")
-        windows = cut.join(crowded, "anchor", "left_semi").mapInArrow(_windows, "raw binary, doc long, at long")
-        windows = shared.staged(windows, folder, "windows")
-        first = windows.groupBy("raw").agg(F.min(F.struct("doc", "at")).alias("first"), F.count("*").alias("n")).where("n > 1")
-        again = windows.join(first, "raw").where(F.struct("doc", "at") != F.col("first"))
-        repeats = repeats.union(again.select("doc", F.col("at").alias("lo"), F.col("at").alias("hi")))
-        cut = cut.join(crowded, "anchor", "left_anti")
-    shards = cut.repartition(shared.parts(spark), "anchor").sortWithinPartitions("anchor", "doc", "lo")
-    repeats = repeats.union(shards.mapInArrow(_repeats, "doc long, lo long, hi long"))
+    wanted = sorted_out.where("kind = 2").select("anchor", "doc", "lo", "hi")
+    crowded = wanted.groupBy("anchor").count().where(F.col("count") > MOST_ROWS).select("anchor", F.lit(1).alias("crowded"))
+    # one anchor of MOST_ROWS runs at least: a small table
+    crowded = F.broadcast(shared.staged(crowded, folder, "crowded"))
+    wanted = wanted.join(crowded, "anchor", "left").groupBy("doc").agg(F.collect_list(F.struct("anchor", "lo", "hi", F.coalesce("crowded", F.lit(0)).alias("crowded"))).alias("runs"))
+    cut = text.select("doc", "text").join(wanted, "doc").mapInArrow(_cut, _CUT)
+    met = cut.repartition(shared.parts(spark), "anchor").sortWithinPartitions("kind", "anchor", "doc", "lo")
+    repeats = repeats.union(met.mapInArrow(_repeats, "doc long, lo long, hi long"))
     spans = repeats.groupBy("doc").agg(F.collect_list(F.struct("lo", "hi")).alias("spans"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string" + ", kept binary" * keep
     return text.join(spans, "doc", "left").select("doc_id", "text", "spans").mapInArrow(lambda it: _remove(it, keep), schema)

@@ -428,6 +428,25 @@ def test_suffix(spark, monkeypatch, shard, rows):
     assert all(brute.sha(bytes(r.kept)) == r.kept_sha256 for r in got)
 
 
+def test_windows_of_a_crowded_anchor_travel_without_their_bytes(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    letters = lambda n: "".join(map(chr, rng.integers(97, 123, n)))
+    phrase, around = letters(60), [letters(70) for _ in range(8)]
+    texts = {i: letters(60) + around[i % 8] + phrase + around[i % 5] + letters(60) for i in range(200)}
+    monkeypatch.setattr(suffix, "MOST_ROWS", 2)
+    names, staged = [], shared.staged
+    monkeypatch.setattr(shared, "staged", lambda df, folder, name: names.append(name) or staged(df, folder, name))
+    df = spark.createDataFrame(list(texts.items()), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: tuple(r)[1:] for r in suffix.substring_dedup(df, keep=False).collect()}
+    assert got == brute.repeated({i: t.encode() for i, t in texts.items()}) and any(r[1] for r in got.values())
+    assert set(names) == {"anchors", "crowded"}
+    # a task sends 100 windows of a run as numbers, of equal ones the first alone
+    runs = [{"anchor": 1, "lo": 0, "hi": 100, "crowded": 1}]
+    batch = pa.RecordBatch.from_arrays([pa.array([1, 2]), pa.array([texts[0]] * 2), pa.array([runs] * 2)], ["doc", "text", "runs"])
+    sent = pa.Table.from_batches(suffix._cut(iter([batch]))).to_pylist()
+    assert [(r["kind"], r["doc"]) for r in sent] == [(0, 1)] * 101 + [(1, 2)] and all(r["raw"] is None for r in sent) and sent[-1]["more"] == 100
+
+
 def test_suffix_of_repeated_ids(spark):
     rng = np.random.default_rng(4)
     base, other, short = ("".join(map(chr, rng.integers(97, 123, n))) for n in (300, 220, 90))
